@@ -39,6 +39,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: rows of a table of a few numbers each that may be broadcast; beyond it Spark joins by shuffle
+BROADCAST_ROWS = 400_000
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """Mark a materialised narrow table for broadcast if a count shows that it is small enough."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash, remembered within a worker."""
 
@@ -96,6 +105,12 @@ class Packer:
         )
 
 
+    def table(self) -> pa.Table:
+        batch = self.flush()
+        schema = pa.schema([("part", pa.int32()), *((n, pa.binary()) for n in self.names)])
+        return schema.empty_table() if batch is None else pa.Table.from_batches([batch])
+
+
 def packed_schema(names: list[str]) -> str:
     return "part int, " + ", ".join(f"{n} binary" for n in names)
 
@@ -125,4 +140,5 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
         e = cut(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct())
-    return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+    stars = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return stars.unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))

@@ -6,20 +6,47 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import contamination
 from .jaccard_join import jaccard_components
+from .line_dedup import line_classes
+from .packing import pack
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line with the first line of its class; duplicates are equal or within two edits."""
+    return line_classes(_table(spark, sf_dir, "documents"), edits=2, shortest=10)
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all tokenised documents in sequences of at most 2048 tokens."""
+    return pack(_table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, closing_id=0)
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 5-word shingle sets have a Jaccard similarity of 0.8 or more."""
     return jaccard_components(_table(spark, sf_dir, "documents"), width=5, percent=80)
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document inside any occurrence of a 10-word benchmark window."""
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), width=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
+    "op5_best_fit_packing": op5_best_fit_packing,
     "op7_jaccard_join": op7_jaccard_join,
+    "op10_decontamination": op10_decontamination,
 }
 
 #: DuckDB SQL where SQL can state the result and run on whole tables
