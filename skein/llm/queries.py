@@ -6,8 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import chat_format, quality, toxicity
 from .decontaminate import contamination
+from .fingerprint import edited, exact_groups
+from .html_wrappers import main_texts
 from .jaccard_join import jaccard_components
+from .language_id import identify
 from .line_dedup import line_classes
 from .packing import pack
 
@@ -27,27 +31,72 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_classes(_table(spark, sf_dir, "documents"), edits=2, shortest=10)
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade, tail probabilities and selection of every document."""
+    docs = _table(spark, sf_dir, "documents")
+    return quality.rate(docs, quality.fit(docs, _table(spark, sf_dir, "labels"), "quality"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document from its text, its declared language and its source."""
+    return identify(_table(spark, sf_dir, "documents"), declared="lang", host="source").drop("row")
+
+
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every formatted conversation, read back from the output."""
+    return chat_format.digests(chat_format.format_chats(chat_format.with_probe(_table(spark, sf_dir, "conversations"))))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all tokenised documents in sequences of at most 2048 tokens."""
     return pack(_table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, closing_id=0)
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page by the wrapper of its host."""
+    return main_texts(_table(spark, sf_dir, "pages"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 5-word shingle sets have a Jaccard similarity of 0.8 or more."""
     return jaccard_components(_table(spark, sf_dir, "documents"), width=5, percent=80)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document from its nearest labelled examples, which are named."""
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and the group of equal canonical texts."""
+    docs = _table(spark, sf_dir, "documents")
+    groups = exact_groups(docs).dropDuplicates(["doc_id", "fingerprint"])
+    rows = edited(docs)
+    same = rows.doc_id.eqNullSafe(groups.doc_id) & (rows.fingerprint == groups.fingerprint)
+    return rows.join(groups, same).select(*(rows[c] for c in rows.columns), "group_id", "copies")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document inside any occurrence of a 10-word benchmark window."""
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), width=10)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_line_dedup": op1_line_dedup,
-    "op5_best_fit_packing": op5_best_fit_packing,
-    "op7_jaccard_join": op7_jaccard_join,
-    "op10_decontamination": op10_decontamination,
+    f.__name__: f
+    for f in (
+        op1_line_dedup,
+        op2_quality_classifier,
+        op3_language_id,
+        op4_chat_formatting,
+        op5_best_fit_packing,
+        op6_html_extraction,
+        op7_jaccard_join,
+        op8_toxicity,
+        op9_document_fingerprints,
+        op10_decontamination,
+    )
 }
 
 #: DuckDB SQL where SQL can state the result and run on whole tables
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op4_chat_formatting": chat_format.SQL}
