@@ -115,7 +115,7 @@ def suffix_of(address: F.Column) -> F.Column:
     """The top-level domain and a two-letter first path segment of an address, as ``com/fr``."""
     top = F.regexp_extract(address, r"^(?:[a-z]+://)?[^/?#:]*\.([A-Za-z]+)(?=[/?#:]|$)", 1)
     path = F.regexp_extract(address, r"^(?:[a-z]+://)?[^/?#]*/([A-Za-z]{2})(?=[/?#]|$)", 1)
-    return F.when(address.isNotNull() & ((top != "") | (path != "")), F.concat_ws("/", F.lower(top), F.lower(path)))
+    return F.when(address.isNotNull() & ((top != "") | (path != "")), F.concat_ws("/", F.nullif(F.lower(top), F.lit("")), F.nullif(F.lower(path), F.lit(""))))
 
 
 def host_of(address: F.Column) -> F.Column:

@@ -114,7 +114,7 @@ class Scorer:
         self.memo: dict[tuple, tuple[float, list[int], list[float]]] = {}
 
     def counts(self, text: str | None) -> tuple[tuple[int, int], ...]:
-        found = Counter(filter(None.__ne__, map(self.number.get, words(text))))
+        found = Counter(self.number[w] for w in words(text) if w in self.number)
         return tuple(sorted(found.items()))
 
     def weigh(self, counts: tuple[tuple[int, int], ...]) -> dict[int, float]:
