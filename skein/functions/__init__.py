@@ -1 +1 @@
-
+"""Column functions: text, statistics and the small grammar."""

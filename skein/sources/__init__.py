@@ -1 +1 @@
-
+"""Sources and sinks: JSON lines, snapshots, ledgers, schema evolution."""
