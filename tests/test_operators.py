@@ -229,3 +229,45 @@ def test_entry_points_work_without_the_llm_folder():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_matching_needs_distinct_nodes(spark):
+    from skein.operators.matching import PATTERN, ambiguity, matching
+
+    surfaces = [(1, "fe mo wo mo ta ka"), (2, "fe mo ta ka"), (3, "un ta ka")]
+    nodes = scene_nodes(spark.createDataFrame(surfaces, "id long, s string"), "id", "s", LEXICON)
+
+    def row(ref, role, ord_, roots, orients=None, relators=None, via=None, depth=None):
+        return ref, role, ord_, roots, orients, None, relators, via, depth
+
+    patterns = spark.createDataFrame(
+        [
+            row("two", "contains", 0, ["mo"]), row("two", "contains", 1, ["mo", "re"]),
+            row("via", "contains", 0, ["mo"], via=["wo"]),
+            row("top", "matrix", 0, ["ta"], relators=["fe"]), row("top", "contains", 0, ["mo"]),
+            row("not", "contains", 0, ["ta"]), row("not", "forbid", 0, ["mo"]),
+            row("ori", "contains", 0, ["ta"], orients=["un", "ap"]),
+        ],
+        PATTERN,
+    )
+    found = matching(nodes, patterns)
+    assert {(r.id, r.ref) for r in found.collect()} == {(1, "two"), (1, "via"), (1, "top"), (2, "top"), (3, "not"), (3, "ori")}
+    assert {r.id: r.n for r in ambiguity(found, nodes).collect()} == {1: 3, 2: 1, 3: 2}
+
+
+def test_verdicts_keep_unknown_apart(spark):
+    from skein.plans import verdicts as v
+
+    null = F.lit(None).cast("double")
+    assert [one(spark, x) for x in (v.internalised(F.lit(0.95), F.lit(False)), v.internalised(F.lit(0.95), F.lit(True)), v.internalised(null, F.lit(False)), v.leaks(F.lit(0.3)), v.is_noise(F.lit(0.1), F.lit(0.2)), v.direction(F.lit(-1.0)))] == ["HOLDS", "FIRES", "UNDECIDED", "FIRES", "FIRES", "CONVERGENCE"]
+    assert [one(spark, v.acceptance(F.lit(a), F.lit(b), F.lit(n), F.lit(0.5))) for a, b, n in ((0.6, 0.9, 99), (0.1, 0.4, 99), (0.4, 0.6, 99), (0.6, 0.9, 5))] == ["ACCEPTED", "REJECTED", "UNDECIDED", "UNDECIDED"]
+
+
+def test_bag_of_tokens_and_its_null(spark):
+    from skein.operators.learning import bag_of_tokens
+
+    rng = random.Random(5)
+    rows = [(i, [f"w{rng.randrange(40)}" for _ in range(8)] + (["yes"] if i % 2 and rng.random() < 0.9 else []), i % 2) for i in range(600)]
+    df = spark.createDataFrame(rows, "k long, items array<string>, y int")
+    assert bag_of_tokens(df, "items", "y", "k") > 0.85
+    assert 0.3 < bag_of_tokens(df, "items", "y", "k", shuffle_labels=True) < 0.7
