@@ -23,69 +23,176 @@ often as they occur; a null doc_id is carried along; an empty table gives no pie
 from __future__ import annotations
 
 import bisect
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, shuffle_parts
 
-#: entries of a worker's memo of encoded chunks, and the longest chunk that it holds
-MEMO, MEMO_CHARS = 500_000, 40
+#: entries of a worker's memos of encoded pieces and words, and the longest entry
+PIECES, WORDS, MEMO_CHARS = 400_000, 900_000, 40
+#: fixed values of the tokenizer: how its normalised text is cut into words
+_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_SPECIAL = regex.compile(r"<\|(?:start|end)oftext\|>")
 
 
-class ChunkEncoder:
-    """Encodes texts by their blank-separated chunks, remembering the ids of each.
+class WordEncoder:
+    """Encodes many texts at once, each distinct piece between blanks only once.
 
-    The tokenizer drops white space and never joins characters across it, so the ids of a
-    text are those of its chunks in order.
+    The tokenizer normalises a text, cuts it into words by a fixed pattern that never joins
+    characters across white space, and encodes each word by itself; the ids of a word end with
+    a token that closes it.  So the distinct blank-separated pieces of a batch are looked up
+    among those the worker remembers, new ones are cut into words, new words are encoded many
+    at a time (closing tokens tell them apart), and numpy lays out the ids of all texts.
+    A text that holds a special token's string goes to the tokenizer as it is.
     """
 
     def __init__(self, tokenizer_path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.memo: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        chunks = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo = {}
-        known = self.memo
-        new = list({c for own in chunks for c in own if c not in known})
-        fresh = {}
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast([c.decode("utf-8", "surrogatepass") for c in part], add_special_tokens=False)):
-                fresh[c] = np.array(e.ids, "<u4").tobytes()
-        long = {c: fresh.pop(c) for c in new if len(c) > MEMO_CHARS}
-        known.update(fresh)
-        if long:
-            return [b"".join([known[c] if c in known else long[c] for c in own]) for own in chunks]
-        return [b"".join(map(known.__getitem__, own)) for own in chunks]
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {}
+        self.pieces: dict[bytes, bytes] = {}
+
+    @staticmethod
+    def normalised(text: str) -> bytes:
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3")
+        return text.lower().encode("utf-8", "surrogatepass")
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def learn(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of new pieces; short words and pieces are remembered."""
+        words = {p: _cut(p.decode("utf-8", "surrogatepass")) for p in pieces}
+        ids_of = {w: self.known[w] for own in words.values() for w in own if w in self.known}
+        new = list({w for own in words.values() for w in own if w not in ids_of})
+        for at in range(0, len(new), 2048):
+            part = new[at : at + 2048]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(part):
+                flat, bounds = ids.tobytes(), (4 * ends).tolist()
+                ids_of.update((w, flat[a:b]) for w, a, b in zip(part, [0, *bounds], bounds))
+            else:
+                ids_of.update((w, self.whole(w).tobytes()) for w in part)
+        if len(self.known) > WORDS:
+            self.known.clear()
+        self.known.update((w, ids_of[w]) for w in new if len(w) <= MEMO_CHARS)
+        out = {p: b"".join(map(ids_of.__getitem__, own)) for p, own in words.items()}
+        if len(self.pieces) > PIECES:
+            self.pieces.clear()
+        self.pieces.update((p, i) for p, i in out.items() if len(p) <= MEMO_CHARS)
+        return out
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Unsigned 32-bit ids of each text."""
+        special = {i: self.whole(t) for i, t in enumerate(texts) if t and "oftext|>" in t and _SPECIAL.search(t)}
+        encoded = [b"" if i in special or not t else self.normalised(t) for i, t in enumerate(texts)]
+        buffer = b"\n".join([b"", *encoded, b""])
+        data = np.frombuffer(buffer, np.uint8)
+        inside = ~_BLANK[data]
+        edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        starts, ends = edges[0::2], edges[1::2]
+        hashes = _piece_hashes(data, starts, ends)
+        _, example, number = np.unique(hashes, return_index=True, return_inverse=True)
+        traits = (ends - starts) << 24 | data[starts].astype(np.int64) << 16 | data[(starts + ends) // 2].astype(np.int64) << 8 | data[ends - 1]
+        if (traits != traits[example][number]).any():  # two pieces of one hash: number the pieces themselves
+            ids = {}
+            number = np.array([ids.setdefault(buffer[a:b], len(ids)) for a, b in zip(starts.tolist(), ends.tolist())])
+            _, example = np.unique(number, return_index=True)
+        pieces = [buffer[a:b] for a, b in zip(starts[example].tolist(), ends[example].tolist())]
+        known = self.pieces
+        found = [known.get(p) for p in pieces]
+        fresh = self.learn([p for p, f in zip(pieces, found) if f is None])
+        found = [fresh[p] if f is None else f for p, f in zip(pieces, found)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat, begin = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
+        length = sizes[number]
+        place = np.cumsum(length) - length
+        ids = flat[np.arange(int(length.sum())) + np.repeat(begin[number] - place, length)]
+        bounds = np.cumsum([1, *(len(e) + 1 for e in encoded)])  # where each text starts in the buffer
+        cut = np.append(place, len(ids))[np.searchsorted(starts, bounds)]
+        return [special.get(i, ids[cut[i] : cut[i + 1]]) for i in range(len(texts))]
+
+
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_SEED = 0x9E3779B97F4A7C15
+_POWERS: list[np.ndarray] = []
+
+
+def _cut(piece: str) -> list[str]:
+    if piece.isalpha():
+        return [piece]
+    if piece[-1] in ".,!" and piece[:-1].isalpha():
+        return [piece[:-1], piece[-1]]
+    return _WORDS.findall(piece)
+
+
+def _piece_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Polynomial hashes modulo 2^64 of the pieces [start, end), from running sums."""
+    if not _POWERS or len(_POWERS[0]) < len(data):
+        n = max(1 << 20, 1 << len(data).bit_length())
+        up, down = np.full(n, _SEED, np.uint64), np.full(n, pow(_SEED, -1, 1 << 64), np.uint64)
+        up[0] = down[0] = 1
+        _POWERS[:] = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    up, down = _POWERS
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data + np.uint64(1)) * up[: len(data)], out=total[1:])
+    return (total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder_of(tokenizer_path: str) -> WordEncoder:
+    """The worker's encoder, kept for its next tasks."""
+    if tokenizer_path not in _ENCODERS:
+        _ENCODERS[tokenizer_path] = WordEncoder(tokenizer_path)
+    return _ENCODERS[tokenizer_path]
+
+
+#: characters of text that are encoded at once
+BATCH_CHARS = 1_500_000
 
 
 def _pieces(tokenizer_path: str, closing_id: int, capacity: int, with_ids: bool):
-    end = np.array([closing_id], "<u4").tobytes()
+    end = np.array([closing_id], "<u4")
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][: 5 + with_ids]
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids]
+
+    def rows_of(docs: list, texts: list) -> pa.RecordBatch:
+        rows = []
+        for doc_id, ids in zip(docs, encoder_of(tokenizer_path).encode(texts)):
+            ids = np.concatenate([ids, end])
+            for piece, start in enumerate(range(0, len(ids), capacity)):
+                part = ids[start : start + capacity].tobytes()
+                rows.append((doc_id, piece, start, len(part) // 4, zlib.crc32(part), part))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(tokenizer_path)
+        docs, texts, size = [], [], 0
         for b in batches:
-            docs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for at in range(0, len(docs), 256):
-                rows = []
-                for doc_id, ids in zip(docs[at : at + 256], encoder.encode(texts[at : at + 256])):
-                    ids += end
-                    for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
-                        part = ids[start : start + 4 * capacity]
-                        rows.append((doc_id, piece, start // 4, len(part) // 4, zlib.crc32(part), part))
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][: 5 + with_ids]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                docs.append(doc_id)
+                texts.append(text)
+                size += len(text or "")
+                if size >= BATCH_CHARS:
+                    yield rows_of(docs, texts)
+                    docs, texts, size = [], [], 0
+        if docs:
+            yield rows_of(docs, texts)
 
     return run
 
