@@ -483,6 +483,123 @@ def clipped_texts(t):
     return t("documents").select("doc_id", tx.clip(F.col("text"), 40).alias("clipped"))
 
 
+@query(f"with {DIMS.replace('select label, d,', 'select vec_id, label, d,')}, b as (select d, label, avg(x) as m, abs(avg(x) filter (vec_id % 2 = 0) - avg(x) filter (vec_id % 2 = 1)) as moved from v group by all) select d, round(stddev_samp(m) / avg(moved), 6) as contamination from b group by d")
+def half_contamination(t):
+    """Spread of label means against how far the halves of a label move."""
+    v = t("embeddings").select("vec_id", "label", F.posexplode(F.slice("embedding", 1, 4)).alias("d", "x")).withColumn("x", F.col("x").cast("double"))
+    side = [F.avg(F.when(F.col("vec_id") % 2 == k, F.col("x"))) for k in (0, 1)]
+    b = v.groupBy(F.col("d").cast("long").alias("d"), "label").agg(F.avg("x").alias("m"), F.abs(side[0] - side[1]).alias("moved"))
+    return b.groupBy("d").agg(r6(F.stddev_samp("m") / F.avg("moved")).alias("contamination"))
+
+
+@query(f"with {DIMS}, g as (select d, label, avg(x) as m from v group by all) select d, round((max(m) filter (label = 0) - avg(m) filter (label <> 0)) / stddev_samp(m) filter (label <> 0), 6) as z from g group by d")
+def pool_centrality(t):
+    """How far one label's mean lies from those of the others."""
+    g = dimensions(t).groupBy("d", "label").agg(F.avg("x").alias("m"))
+    pool, rest = F.max(F.when(F.col("label") == 0, F.col("m"))), F.when(F.col("label") != 0, F.col("m"))
+    return g.groupBy("d").agg(r6((pool - F.avg(rest)) / F.stddev_samp(rest)).alias("z"))
+
+
+@query(f"with {DIMS}, l as (select distinct label as dropped from embeddings), g as (select dropped, label, avg(x) as m, var_samp(x) as v, count(*) as n from v, l where d = 0 and label <> dropped group by all), s as (select dropped, avg(v) as within, greatest(0, var_samp(m) - avg(v) * avg(1.0 / n)) as b from g group by dropped) select dropped, round(b / (b + within), 6) as icc from s")
+def jackknife_icc(t):
+    """Intraclass correlation without each label in turn, from the labels' moments."""
+    g = dimensions(t).filter("d = 0").groupBy("label").agg(F.avg("x").alias("m"), F.var_samp("x").alias("v"), F.count("*").alias("n"))
+    kept = g.crossJoin(F.broadcast(g.select(F.col("label").alias("dropped")))).filter("label != dropped")
+    s = kept.groupBy("dropped").agg(F.avg("v").alias("w"), F.var_samp("m").alias("bm"), F.avg(1 / F.col("n")).alias("inv"))
+    b = F.greatest(F.lit(0.0), F.col("bm") - F.col("w") * F.col("inv"))
+    return s.select("dropped", r6(b / (b + F.col("w"))).alias("icc"))
+
+
+@query("""with r as (select event_type, value, row_number() over (partition by event_type order by sha256(cast(event_id as varchar))) - 1 as i from events), c as (select event_type, i // 40 as chunk, avg(value) as m from r group by all having count(*) = 40)
+ select event_type, count(*) as chunks, round(avg(m), 6) as mean, round(stddev_samp(m), 6) as sd from c group by all""")
+def chunk_means(t):
+    """Means of whole chunks of 40 rows in an order that a hash decides."""
+    i = F.row_number().over(Window.partitionBy("event_type").orderBy(F.sha2(F.col("event_id").cast("string"), 256))) - 1
+    c = t("events").select("event_type", "value", F.floor(i / 40).alias("chunk")).groupBy("event_type", "chunk").agg(F.avg("value").alias("m"), F.count("*").alias("n")).filter("n = 40")
+    return c.groupBy("event_type").agg(F.count("*").alias("chunks"), r6(F.avg("m")).alias("mean"), r6(F.stddev_samp("m")).alias("sd"))
+
+
+@query(f"with {PAIRS}, c as (select prior = 'click' as chosen, following = 'purchase' as hit from p where following is not null) select count(*) filter (chosen) as n_pivot, count(*) filter (not chosen) as n_other, round(avg(hit::int) filter (chosen), 6) as rate_pivot, round(avg(hit::int) filter (not chosen), 6) as rate_other from c")
+def rate_contrast(t):
+    """A rate after one kind of event against the rate after others."""
+    c = sequences.successors(t("events"), "user_id", AT, "event_type").filter("s1 is not null").select((F.col("event_type") == "click").alias("pivot"), (F.col("s1") == "purchase").cast("int").alias("hit"))
+    return c.agg(F.count_if("pivot").alias("n_pivot"), F.count_if(~F.col("pivot")).alias("n_other"), r6(F.avg(F.when(F.col("pivot"), F.col("hit")))).alias("rate_pivot"), r6(F.avg(F.when(~F.col("pivot"), F.col("hit")))).alias("rate_other"))
+
+
+@query("""with u as (select user_id, avg(value) filter (event_type = 'purchase') as a, avg(value) filter (event_type = 'click') as b from events group by all), k as (select * from u where a is not null and b is not null)
+ select count(*) as n, round((select avg(abs(x.a - y.b)) from k x, k y where x.user_id <> y.user_id) - avg(abs(a - b)), 4) as gain from k""")
+def pairing_gain(t):
+    """Mean distance of mismatched pairs less that of matched pairs; running sums, no pairs are made."""
+    side = [F.avg(F.when(F.col("event_type") == x, F.col("value"))).alias(n) for x, n in (("purchase", "a"), ("click", "b"))]
+    k = t("events").groupBy("user_id").agg(*side).filter("a is not null and b is not null")
+    both = k.select(F.col("a").alias("v"), F.lit(1).alias("ia")).unionAll(k.select(F.col("b").alias("v"), F.lit(0).alias("ia")))
+    w = Window.orderBy("v", "ia").rowsBetween(Window.unboundedPreceding, 0)
+    before = both.withColumn("na", F.sum("ia").over(w)).withColumn("sa", F.sum(F.col("v") * F.col("ia")).over(w)).withColumn("nb", F.sum(1 - F.col("ia")).over(w)).withColumn("sb", F.sum(F.col("v") * (1 - F.col("ia"))).over(w))
+    every = before.agg(F.sum(F.when(F.col("ia") == 1, F.col("v") * F.col("nb") - F.col("sb")).otherwise(F.col("v") * F.col("na") - F.col("sa"))).alias("total"))
+    own = k.agg(F.count("*").alias("n"), F.sum(F.abs(F.col("a") - F.col("b"))).alias("matched"))
+    return own.crossJoin(every).select("n", F.round((F.col("total") - F.col("matched")) / (F.col("n") * (F.col("n") - 1)) - F.col("matched") / F.col("n"), 4).alias("gain"))
+
+
+@query("""with r as (select conv_id, role, text, row_number() over (partition by conv_id, role order by turn, text) as i from conversations), a as (select * from r where role = 'user'), b as (select * from r where role = 'assistant')
+ select coalesce(a.conv_id, b.conv_id) as conv_id, count(*) as places, count(*) filter (a.text is null or b.text is null) as alone, count(*) filter (length(a.text) > length(b.text)) as longer from a full join b on a.conv_id = b.conv_id and a.i = b.i group by all""")
+def positional_diff(t):
+    """Two sides joined place by place."""
+    i = F.row_number().over(Window.partitionBy("conv_id", "role").orderBy("turn", "text"))
+    r = t("conversations").select("conv_id", "role", "text", i.alias("i"))
+    a, b = (r.filter(F.col("role") == x).select("conv_id", "i", F.col("text").alias(n)) for x, n in (("user", "ta"), ("assistant", "tb")))
+    j = a.join(b, ["conv_id", "i"], "full_outer")
+    return j.groupBy("conv_id").agg(F.count("*").alias("places"), F.count_if(F.col("ta").isNull() | F.col("tb").isNull()).alias("alone"), F.count_if(F.length("ta") > F.length("tb")).alias("longer"))
+
+
+@query(f"with b as (select distinct unnest({TOK.format('text')}) as tok from benchmark), d as (select distinct unnest({TOK.format('text')}) as tok from documents) select count(d.tok) as covered, count(*) as vocabulary, round(count(d.tok) / count(*), 6) as coverage from b left join d using (tok)")
+def vocabulary_coverage(t):
+    """Share of a vocabulary that a corpus uses."""
+    words = [t(x).select(F.explode(tx.tokens(F.col("text"))).alias("tok")) for x in ("benchmark", "documents")]
+    c = overlap.leakage(*words, "tok")
+    return c.select(F.col("leaked").alias("covered"), F.col("total").alias("vocabulary"), r6("rate").alias("coverage"))
+
+
+@query("""with h as (select n_name as name, c_custkey % 2 as half, avg(c_acctbal) as m from customer join nation on c_nationkey = n_nationkey group by all), r as (select name, row_number() over (partition by half order by m, name) as place from h)
+ select name, max(place) - min(place) as range from r group by all""")
+def rank_stability(t):
+    """How far an item's rank moves between two halves."""
+    h = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("name"), (F.col("c_custkey") % 2).alias("half")).agg(F.avg("c_acctbal").alias("m"))
+    r = h.withColumn("place", F.row_number().over(Window.partitionBy("half").orderBy("m", "name")))
+    return r.groupBy("name").agg((F.max("place") - F.min("place")).cast("long").alias("range"))
+
+
+@query("with r as (select conv_id, turn, role, text, row_number() over (partition by conv_id order by turn desc, role desc, text desc) as i from conversations) select conv_id, string_agg(role || ': ' || text, chr(10) order by turn, role, text) as block from r where i <= 3 group by all")
+def transcript_block(t):
+    """The last three rows of a conversation as one text."""
+    rows = F.array_sort(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))))
+    last = t("conversations").groupBy("conv_id").agg(rows.alias("r")).withColumn("r", F.slice("r", F.greatest(F.size("r") - 2, F.lit(1)), 3))
+    return last.select("conv_id", F.array_join(F.transform("r", lambda x: F.concat(x["role"], F.lit(": "), x["text"])), "\n").alias("block"))
+
+
+@query("select source, count(*) as texts, cast(sum(n) as bigint) as chars from (select distinct source, text, length(text) as n from documents) group by all")
+def distinct_volume(t):
+    """Volume of each source with every text counted once."""
+    d = t("documents").groupBy("source", F.sha2("text", 256).alias("f")).agg(F.max(F.length("text")).alias("n"))
+    return d.groupBy("source").agg(F.count("*").alias("texts"), F.sum("n").alias("chars"))
+
+
+@query(f"with w as (select distinct item_id, unnest({TOK.format('text')}) as tok from benchmark), l as (select item_id, tok, 1.0 / count(*) over (partition by tok) as literal from w) select item_id, tok, round(literal, 6) as literal, round(literal * literal / sum(literal * literal) over (partition by item_id), 6) as speaker from l")
+def listener_speaker(t):
+    """A literal listener's weights and the speaker's normalised powers of them."""
+    w = t("benchmark").select("item_id", F.explode(tx.token_set(F.col("text"))).alias("tok"))
+    lit = w.withColumn("l", 1 / F.count("*").over(Window.partitionBy("tok")))
+    power = F.col("l") * F.col("l")
+    return lit.select("item_id", "tok", r6("l").alias("literal"), r6(power / F.sum(power).over(Window.partitionBy("item_id"))).alias("speaker"))
+
+
+@query("with r as (select user_id, row_number() over (partition by user_id order by ts desc, event_id desc) - 1 as age from events) select user_id, count(*) filter (pow(0.5, age / 10.0) >= 0.05) as live, round(sum(pow(0.5, age / 10.0)), 6) as weight from r group by all")
+def decayed_weights(t):
+    """Weights that halve every ten rows of a sequence, and how many are live."""
+    age = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))) - 1
+    r = t("events").select("user_id", F.pow(F.lit(0.5), age / 10).alias("w"))
+    return r.groupBy("user_id").agg(F.count_if(F.col("w") >= 0.05).alias("live"), r6(F.sum("w")).alias("weight"))
+
+
 # What SQL cannot state, or not without state; tests hold these against brute force.
 
 LEXICON = Lexicon({"R": ("mo", "ta", "re", "li", "su"), "O": ("un", "ap"), "L": ("fe", "wo"), "A": ("zi",), "M": ("ma",), "D": ("da",), "Q": ("qu",), "T": ("ti", "te"), "F": ("ka", "ki", "ko")}, closer="sa")
