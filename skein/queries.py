@@ -81,7 +81,7 @@ def transition_fairness(t):
     return g.agg((F.min("ratio") >= 0.25).alias("fair"), r6(F.min("ratio")).alias("worst"), F.min_by(F.concat_ws(">", "prior", "following"), "ratio").alias("cell"), F.count("*").alias("cells"))
 
 
-@query(f"with {GRID} select prior, row_n, round(0.5 * sum(abs(n / row_n - col_n / all_n)), 6) as distance from s group by all")
+@query(f"with {GRID} select prior, cast(row_n as bigint) as row_n, round(0.5 * sum(abs(n / row_n - col_n / all_n)), 6) as distance from s group by all")
 def transition_tv_distance(t):
     """Total variation of each row from independence."""
     g = sequences.transition_grid(t("events"), "user_id", AT, "event_type")
