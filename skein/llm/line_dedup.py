@@ -9,7 +9,9 @@ are left alone.  The first line of a component, by (doc_id, line number), is kep
 2. Every line is cut into ``edits + 1`` even segments and files each under (length, segment
    number, segment).  It probes, for its own and the ``edits`` shorter lengths, the substrings
    that can still line up with a segment (the multi-match-aware window).  A pair within
-   the distance shares at least one segment, so no link is missed.
+   the distance shares at least one segment, so no link is missed.  An entry also carries the
+   parities of the line's letter pairs in 32 cells; an edit changes at most four of them, so
+   pairs that differ in more than 4 * ``edits`` cells are ruled out where they meet.
 3. Candidate pairs are verified by a banded bit-parallel edit distance on the whole lines.
 4. Components of the links give each line its class.
 
@@ -148,11 +150,21 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+_CELLS = 2 ** np.arange(32, dtype=np.int64)
+
+
+def pair_parities(raw: bytes) -> int:
+    """Parities, in 32 cells, of how often the pairs of neighbouring code points occur."""
+    points = np.frombuffer(raw, np.uint32)
+    cells = ((points[:-1] * np.uint32(0x9E3779B1) + points[1:] * np.uint32(0x85EBCA6B)) * np.uint32(0xC2B2AE35)) >> np.uint32(27)
+    return int((np.bincount(cells, minlength=32) & 1) @ _CELLS)
+
+
 def _keys(edits: int, shortest: int, parts: int):
     """(text) -> the segment index and its probes, packed by key; bit 0 of an id tells a probe."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, plans, seen = Packer(parts, ["key", "id"]), {}, set()
+        packer, plans, seen = Packer(parts, ["key", "id", "cells"]), {}, set()
         file = xxhash.xxh3_64_intdigest
 
         def plan(length: int):
@@ -178,7 +190,7 @@ def _keys(edits: int, shortest: int, parts: int):
                     cuts, role = plans[len(line)]
                     raw = line.encode("utf-32-le", "surrogatepass")
                     key = np.fromiter((file(raw[x:y], seed) for x, y, seed in cuts), np.uint64, len(cuts))
-                    if packer.add(key, (np.full(len(cuts), a, np.int64) & ~1) | role):
+                    if packer.add(key, (np.full(len(cuts), a, np.int64) & ~1) | role, np.full(len(cuts), pair_parities(raw), np.uint32)):
                         yield packer.flush()
         if (x := packer.flush()) is not None:
             yield x
@@ -186,28 +198,35 @@ def _keys(edits: int, shortest: int, parts: int):
     return run
 
 
-def _candidates(table: pa.Table) -> pa.Table:
-    """Distinct pairs of lines of which one probes what the other has filed."""
-    key, ident = unpack(table, "key", np.uint64), unpack(table, "id", np.int64)
+def _candidates(edits: int):
+    def run(table: pa.Table) -> pa.Table:
+        return _meetings(table, 4 * edits)
+
+    return run
+
+
+def _meetings(table: pa.Table, most: int) -> pa.Table:
+    """Distinct pairs of lines of which one probes what the other has filed, alike in all but ``most`` cells."""
+    key, ident, cells = unpack(table, "key", np.uint64), unpack(table, "id", np.int64), unpack(table, "cells", np.uint32)
     order = np.argsort(key, kind="stable")
     key = key[order]
     same = key[1:] == key[:-1]
     order = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
-    key, ident = unpack(table, "key", np.uint64)[order], ident[order]
+    key, ident, cells = unpack(table, "key", np.uint64)[order], ident[order], cells[order]
     order = np.lexsort((ident, key))
-    key, ident = key[order], ident[order]
+    key, ident, cells = key[order], ident[order], cells[order]
     line, role = ident & ~1, 1 << (ident & 1)
     found: list[np.ndarray] = []
     if len(key):
         first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (line[1:] != line[:-1])]))
         role = np.bitwise_or.reduceat(role, first)
-        key, line = key[first], line[first]
+        key, line, cells = key[first], line[first], cells[first]
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         ends = np.repeat(np.append(starts[1:], len(key)), np.diff(np.append(starts, len(key))))
         at, step, held = np.arange(len(key)), 1, 0
         while len(at := at[at + step < ends[at]]):
             to = at + step
-            meet = (role[at] | role[to]) == 3
+            meet = ((role[at] | role[to]) == 3) & (np.bitwise_count(cells[at] ^ cells[to]) <= most)
             found.append(np.stack([line[at[meet]], line[to[meet]]], 1))
             held += len(found[-1])
             if held > 4_000_000:
@@ -256,8 +275,8 @@ def line_links(docs: DataFrame, edits: int = 2, shortest: int = 10) -> DataFrame
     """(a, b): ids of different lines within the distance, each pair once."""
     texts = docs.select("text").filter("text is not null")
     parts = 4 * shuffle_parts(docs.sparkSession)
-    packed = texts.mapInArrow(_keys(edits, shortest, parts), packed_schema(["key", "id"]))
-    pairs = cut(packed.groupBy("part").applyInArrow(_candidates, "a long, b long").distinct())
+    packed = texts.mapInArrow(_keys(edits, shortest, parts), packed_schema(["key", "id", "cells"]))
+    pairs = cut(packed.groupBy("part").applyInArrow(_candidates(edits), "a long, b long").distinct())
     ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
     few = ids.limit(SHIPPED_IDS + 1).toPandas().id.to_numpy(np.int64)
     if len(few) <= SHIPPED_IDS:
