@@ -39,7 +39,7 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document from its text, its declared language and its source."""
-    return identify(_table(spark, sf_dir, "documents"), declared="lang", host="source").drop("row")
+    return identify(_table(spark, sf_dir, "documents"), declared="lang", host="source").drop("row").withColumnRenamed("accepted", "keep")
 
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
