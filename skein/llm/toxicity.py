@@ -2,9 +2,9 @@
 
 * Examples: labelled rows of the training folds, at most ``examples`` of them, the first by a
   hash of their id; toxic and clean rows alike.
-* Vocabulary: terms that the examples associate with either label (chi-squared of presence at
-  least ``association``, and at least ``lift`` times as common on one side), ``terms`` at most,
-  strongest first.  Document frequencies for the IDF are counted over all documents.
+* Vocabulary: terms that the examples associate with either label (in five different examples at
+  least, chi-squared of presence at least ``association``, and at least ``lift`` times as common
+  on one side), ``terms`` at most, strongest first.  Document frequencies for the IDF are counted over all documents.
 * Index: postings of the examples, cut into blocks of ``BLOCK`` consecutive examples, with
   the largest weight of each term in each block.  A query bounds every block by these maxima,
   opens blocks from the highest bound down and stops when no bound reaches its k-th
@@ -46,10 +46,10 @@ def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 5 == 0
 
 
-def choose_terms(examples: list[tuple[set[bytes], int]], association: float, lift: float, most: int) -> list[bytes]:
+def choose_terms(examples: list[tuple[set[bytes], int]], association: float, lift: float, most: int, least: int = 5) -> list[bytes]:
     toxic, clean = Counter(), Counter()
     n = [0, 0]
-    for found, label in examples:
+    for found, label in {(frozenset(f), y) for f, y in examples}:
         (toxic if label else clean).update(found)
         n[label] += 1
     scored = []
@@ -59,7 +59,7 @@ def choose_terms(examples: list[tuple[set[bytes], int]], association: float, lif
         spread = (a + b) * (c + d) * (a + c) * (b + d)
         chi2 = (a + b + c + d) * (a * d - b * c) ** 2 / spread if spread else 0.0
         ratio = ((a + 0.5) / (n[1] + 1)) / ((b + 0.5) / (n[0] + 1))
-        if chi2 >= association and max(ratio, 1 / ratio) >= lift:
+        if a + b >= least and chi2 >= association and max(ratio, 1 / ratio) >= lift:
             scored.append((-chi2, term))
     return [t for _, t in sorted(scored)[:most]]
 
@@ -170,7 +170,7 @@ def _frequencies(vocabulary: list[bytes]):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int = 6_000, terms: int = 2_000, association: float = 12.0, lift: float = 3.0, k: int = 15, prior: float = 0.2) -> Scorer:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int = 6_000, terms: int = 2_000, association: float = 30.0, lift: float = 3.0, k: int = 15, prior: float = 0.2) -> Scorer:
     """Examples, vocabulary and index; the sample of examples is bounded by ``examples``."""
     known = labels.filter(F.col(label).isNotNull() & in_training(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("int").alias("_y"))
     first = known.orderBy(F.xxhash64("_id"), "_id", "_y").limit(examples)
