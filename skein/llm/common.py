@@ -61,6 +61,14 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+_HASHES = WordHashes()
+
+
+def word_hashes() -> WordHashes:
+    """The worker's memo, kept for its next tasks."""
+    return _HASHES
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalising step of a 64-bit hash, elementwise."""
     x = x ^ (x >> np.uint64(33))
