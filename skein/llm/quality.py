@@ -72,7 +72,7 @@ class Model:
             if len(self.memo) > MEMO:
                 self.memo.clear()
             known = self.memo
-            for t in set(tokens) - known.keys():
+            for t in {t for t in tokens if t not in known}:
                 a, b = token_features(t)
                 known[t] = float(self.weights[a] + self.weights[b])
             total += SCALE * sum(map(known.__getitem__, tokens)) / len(tokens)
