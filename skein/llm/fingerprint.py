@@ -18,7 +18,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, shuffle_parts, sized
@@ -40,7 +41,8 @@ def fingerprint(text: str | None) -> str:
 def _canonical_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         forms = [canonical(t).encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([xxhash.xxh3_128_hexdigest(f) for f in forms], pa.string()), pa.array(forms, pa.binary())], names=["doc_id", "fingerprint", "form"])
+        packed = [zstandard.compress(f, 1) for f in forms]  # equal bytes stay equal, different ones different
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([xxhash.xxh3_128_hexdigest(f) for f in forms], pa.string()), pa.array(packed, pa.binary())], names=["doc_id", "fingerprint", "form"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -88,30 +90,28 @@ def compare(doc_id: int | None, text: str, following: str) -> tuple:
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Within a sorted partition: results where the next row is here; the partition's first and last rows apart."""
+    """Within a sorted partition, the results of all rows but the last."""
     held = None
     for b in batches:
-        part = b.column("part").to_pylist()
-        rows, edges = [], []
-        for p, doc_id, text in zip(part, b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-            text = text or ""
-            if held is None:
-                edges.append((p, doc_id, text, "first"))
-            else:
-                rows.append(compare(held[1], held[2], text))
-            held = p, doc_id, text
-        yield _edge_batch(rows, edges)
-    if held is not None:
-        yield _edge_batch([], [(*held, "last")])
-
-
-def _edge_batch(rows: list[tuple], edges: list[tuple]) -> pa.RecordBatch:
-    done = _result(rows)
-    empty = [pa.nulls(len(edges), f.type) for f in done.schema]
-    columns = [pa.concat_arrays([c, e]) for c, e in zip(done.columns, empty)]
-    more = [(pa.int32(), 0), (pa.int64(), 1), (pa.string(), 2), (pa.string(), 3)]
-    columns += [pa.concat_arrays([pa.nulls(len(rows), k), pa.array([e[i] for e in edges], k)]) for k, i in more]
-    return pa.RecordBatch.from_arrays(columns, names=[*_NAMES, "part", "edge_id", "edge_text", "edge"])
+        rows = []
+        for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+            if held is not None:
+                rows.append(compare(held[0], held[1], text or ""))
+            held = doc_id, text or ""
+        yield _result(rows)
+
+
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first and the last row of a sorted partition, as one row."""
+    first = last = None
+    for b in batches:
+        if b.num_rows:
+            first = first or b.slice(0, 1).to_pylist()[0]
+            last = b.slice(b.num_rows - 1, 1).to_pylist()[0]
+    if first:
+        names = ["part", "first_text", "last_id", "last_text"]
+        values = [(first["part"], pa.int32()), (first["text"], pa.string()), (last["doc_id"], pa.int64()), (last["text"], pa.string())]
+        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in values], names=names)
 
 
 def _bridge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,13 +128,10 @@ def edited(docs: DataFrame) -> DataFrame:
     parts = shuffle_parts(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sorted_ = texts.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text").select(F.spark_partition_id().alias("part"), "doc_id", "text")
-    schema = f"{_OUT}, part int, edge_id long, edge_text string, edge string"
-    rows = sorted_.mapInArrow(_neighbours, schema)
-    edges = rows.filter("edge is not null")
-    order = sorted(r.part for r in edges.filter("edge = 'first'").select("part").collect())
-    after = {p: order[(i + 1) % len(order)] for i, p in enumerate(order)}
-    follow = F.create_map(*(F.lit(x) for pair in after.items() for x in pair)) if after else F.create_map().cast("map<int,int>")
-    last = edges.filter("edge = 'last'").select("edge_id", "edge_text", follow[F.col("part")].alias("to"))
-    first = edges.filter("edge = 'first'").select(F.col("part").alias("to"), F.col("edge_text").alias("following"))
-    bridged = last.join(first, "to").select("edge_id", "edge_text", "following").mapInArrow(_bridge, _OUT)
-    return rows.filter("edge is null").select(*_NAMES).unionAll(bridged)
+    rows = sorted_.select("doc_id", "text").mapInArrow(_neighbours, _OUT)
+    edges = sorted_.mapInArrow(_edges, "part int, first_text string, last_id long, last_text string")
+    # one narrow row for each partition: which partition comes next, the first one after the last
+    places = edges.select("part").select("part", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy())).alias("to"))
+    first = edges.select(F.col("part").alias("to"), F.col("first_text").alias("following"))
+    bridged = edges.select("part", "last_id", "last_text").join(places, "part").join(first, "to").select("last_id", "last_text", "following").mapInArrow(_bridge, _OUT)
+    return rows.unionAll(bridged)
