@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import cut, shuffle_parts
 
 #: entries of a worker's memos of encoded pieces and words, and the longest entry
-PIECES, WORDS, MEMO_CHARS = 400_000, 900_000, 40
+PIECES, WORDS, MEMO_CHARS = 600_000, 900_000, 40
 #: fixed values of the tokenizer: how its normalised text is cut into words
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _SPECIAL = regex.compile(r"<\|(?:start|end)oftext\|>")
@@ -164,7 +164,7 @@ def encoder_of(tokenizer_path: str) -> WordEncoder:
 
 
 #: characters of text that are encoded at once
-BATCH_CHARS = 1_500_000
+BATCH_CHARS = 2_400_000
 
 
 def _pieces(tokenizer_path: str, closing_id: int, capacity: int, with_ids: bool):
@@ -230,7 +230,7 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: i
     return [(base[:, i].astype(int), int(m)) for i, m in enumerate(amount) if m > 0]
 
 
-def plan(counts: dict[int, int], capacity: int, groups: int = 64, small_share: float = 0.125, tolerances: tuple[float, ...] = (0.0025, 0.01, 0.03, 1.0)) -> list[tuple[int, int, int, int]]:
+def plan(counts: dict[int, int], capacity: int, groups: int = 32, small_share: float = 0.125, tolerances: tuple[float, ...] = (0.0025, 0.01, 0.03, 1.0)) -> list[tuple[int, int, int, int]]:
     """(length, first sequence, number of sequences, offset): where runs of equal pieces go.
 
     A configuration whose actual lengths leave more than a tolerance of the capacity empty is
@@ -341,7 +341,7 @@ def _place(placed: list[tuple[int, int, int, int]]):
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, closing_id: int = 0, groups: int = 64, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, closing_id: int = 0, groups: int = 32, with_ids: bool = False) -> DataFrame:
     """Pieces of all documents with the sequence and the offset where each lies."""
     spark = docs.sparkSession
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
