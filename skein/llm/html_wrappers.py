@@ -11,7 +11,9 @@ The wrapper names the host's main region: the ``article`` or ``main`` region wit
 text; without one, the region below ``body`` that still holds most of the slot text.  A
 page's main text is the text of that region (of the page's own best region, where it lacks
 it) without menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-reader comments.  Outside an article, texts that are constant across the host go too.
+reader comments.  Outside an article, texts that every page of the host has in the same place
+go too, if the host has at least ``SEVERAL`` different pages; a text that is optional or under an
+optional tag stays, and a page that holds nothing else keeps all of its text.
 
 Defined cases: null or empty html has no text; markup may be cut off, unbalanced or upper
 case; a null or hostless url is a host of its own; repeated pages are repeated; an empty
@@ -26,6 +28,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,6 +55,9 @@ LEFT_OUT_WORDS = frozenset(
 )
 KEPT_HEADS = frozenset("article main section".split())
 
+#: different pages from which a text that all of them share counts as the host's own
+SEVERAL = 5
+
 
 class Page:
     """Texts of a page in order: (path of keys, left out, text, starts a new block)."""
@@ -214,24 +220,31 @@ def regex(node: list) -> str:
     return f"({body}){mark}" if mark else body
 
 
+def _has_slots(node: list) -> bool:
+    return node[3] is None if node[0] == "#text" else any(map(_has_slots, node[5]))
+
+
 def main_region(wrapper: list) -> tuple[list[str], list[list[str]], bool]:
-    """(path of the main region, paths of constant texts, whether it is an article or main region)."""
+    """(path of the main region, paths of the texts that all pages share, whether it is an article or main region)."""
     found: list[tuple[int, list[str]]] = []
     constants: list[list[str]] = []
+    # pages that are all equal have no slots: their constants are their text
+    weight = 100 if _has_slots(wrapper) else 1
 
-    def volume(node: list, path: list[str]) -> int:
+    def volume(node: list, path: list[str], optional: bool) -> int:
+        optional = optional or node[1]
         if node[0] == "#text":
-            if node[3] is not None:
+            if node[3] is not None and not optional:
                 constants.append([*path, node[3]])
-            return node[4] + len(node[3] or "") // 100
+            return node[4] + len(node[3] or "") // weight
         here = [*path, node[0]] if node[0] else path
-        total = sum(volume(c, here) for c in node[5])
+        total = sum(volume(c, here, optional) for c in node[5])
         node.append(total)
         if node[0].split(".")[0] in ("article", "main"):
             found.append((total, here))
         return total
 
-    volume(wrapper, [])
+    volume(wrapper, [], False)
     if found:
         top = max(v for v, _ in found)
         return max((p for v, p in found if v >= 0.8 * top), key=len), constants, True
@@ -252,26 +265,42 @@ def extract(page: Page, region: list[str], constants: frozenset[tuple[str, ...]]
         constants = frozenset()
     k, want = len(region), tuple(region)
 
+    def inside(path: tuple[str, ...], out: bool, text: str) -> bool:
+        return not out and path[:k] == want
+
     def wanted(path: tuple[str, ...], out: bool, text: str) -> bool:
-        return not out and path[:k] == want and (semantic or not constants or (*path, " ".join(text.split())) not in constants)
+        return inside(path, out, text) and (*path, " ".join(text.split())) not in constants
+
+    return page.text(inside) if semantic or not constants else page.text(wanted) or page.text(inside)
+
 
-    return page.text(wanted)
+def _content(tree: list) -> int:
+    """A hash of the tags and texts of a page that are not left out."""
+    return xxhash.xxh3_64_intdigest(json.dumps(tree).encode("utf-8", "surrogatepass"))
 
 
 def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partial wrapper of each host that the task has seen."""
-    wrappers: dict[str, tuple[list, int]] = {}
+    """A partial wrapper of each host that the task has seen, with the hashes of up to ``SEVERAL`` different pages."""
+    wrappers: dict[str, tuple[list, int, set[int]]] = {}
 
     def rows() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [pa.array(list(wrappers), pa.string()), pa.array([json.dumps(w) for w, _ in wrappers.values()], pa.string()), pa.array([n for _, n in wrappers.values()], pa.int64())], names=["host", "wrapper", "pages"]
+            [
+                pa.array(list(wrappers), pa.string()),
+                pa.array([json.dumps(w) for w, _, _ in wrappers.values()], pa.string()),
+                pa.array([n for _, n, _ in wrappers.values()], pa.int64()),
+                pa.array([json.dumps(sorted(seen)) for _, _, seen in wrappers.values()], pa.string()),
+            ],
+            names=["host", "wrapper", "pages", "different"],
         )
 
     for b in batches:
         for host, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             tree = page_tree(Page(source))
-            known = wrappers.get(host)
-            wrappers[host] = (tree, 1) if known is None else (merge(known[0], tree), known[1] + 1)
+            known, n, seen = wrappers.get(host) or (None, 0, set())
+            if len(seen) < SEVERAL:
+                seen.add(_content(tree))
+            wrappers[host] = tree if known is None else merge(known, tree), n + 1, seen
         if len(wrappers) > 2_000:
             yield rows()
             wrappers = {}
@@ -279,13 +308,14 @@ def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _merge_host(table: pa.Table) -> pa.Table:
-    wrapper, pages = None, 0
-    for one, n in sorted(zip(table.column("wrapper").to_pylist(), table.column("pages").to_pylist())):
+    wrapper, pages, seen = None, 0, set()
+    for one, n, different in sorted(zip(*(table.column(c).to_pylist() for c in ("wrapper", "pages", "different")))):
         one = json.loads(one)
         wrapper, pages = one if wrapper is None else merge(wrapper, one), pages + n
+        seen.update(json.loads(different))
     expression = regex(wrapper)
     region, constants, semantic = main_region(wrapper)
-    rule = {"region": region, "semantic": semantic, "constants": constants if pages >= 5 and not semantic else []}
+    rule = {"region": region, "semantic": semantic, "constants": constants if len(seen) >= SEVERAL and not semantic else []}
     return pa.table({"host": table.column("host").slice(0, 1), "pages": pa.array([pages], pa.int64()), "wrapper": [expression], "rule": [json.dumps(rule)]})
 
 
@@ -306,7 +336,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def host_wrappers(pages: DataFrame) -> DataFrame:
     """(host, pages, wrapper, rule): the union-free expression and the extraction rule of every host."""
     rows = pages.select(F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"), "html")
-    return rows.mapInArrow(_infer, "host string, wrapper string, pages long").groupBy("host").applyInArrow(_merge_host, "host string, pages long, wrapper string, rule string")
+    return rows.mapInArrow(_infer, "host string, wrapper string, pages long, different string").groupBy("host").applyInArrow(_merge_host, "host string, pages long, wrapper string, rule string")
 
 
 def main_texts(pages: DataFrame) -> DataFrame:

@@ -33,3 +33,16 @@ def test_wrapper_has_options_repeats_and_slots(spark):
     assert regex(merge(one, two)) == "<div><h1>(.+)</h1>(<p>new</p>)?<ul>(<li>(.+)</li>)+</ul></div>"
     out = host_wrappers(pages(spark, [(1, "http://a.b/1", "<p>x"), (2, "http://a.b/2", "<p>y")])).collect()
     assert [(r.host, r.pages, r.wrapper) for r in out] == [("a.b", 2, "<p>(.+)</p>")]
+
+
+def test_texts_of_single_pages_stay(spark):
+    once = PLAIN.replace("</p></div>", "</p><blockquote>Said once</blockquote><h4>Odd <em>one</em></h4></div>")
+    rows = [(i, f"http://p.example.com/{i}", (once if i == 3 else PLAIN).replace("{n}", f"number{i}" * 9)) for i in range(8)]
+    got = {r.page_id: r.text for r in main_texts(pages(spark, rows)).collect()}
+    assert got == {i: f"Story {f'number{i}' * 9} begins and ends {f'number{i}' * 9}." + " Said once Odd one" * (i == 3) for i in range(8)}
+
+
+def test_equal_pages_keep_their_text(spark):
+    same = "<html><body><div class=top>Site name</div><div class=page><h2>A story that all pages tell</h2><p>and its end.</p></div></body></html>"
+    rows = [(i, "http://e.example.com/", same) for i in range(9)] + [(i, "http://f.example.com/", same.replace("name", "N" * (i % 3))) for i in range(20, 29)]
+    assert all("A story that all pages tell and its end." in r.text for r in main_texts(pages(spark, rows)).collect())
