@@ -1,19 +1,20 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+"""Toxicity by nearest labelled examples: exact weighted TF-IDF cosine over an inverted index.
 
 * Examples: labelled rows of the training folds, at most ``examples`` of them, the first by a
   hash of their id; toxic and clean rows alike.
-* Vocabulary: terms that the examples associate with either label (in five different examples at
-  least, chi-squared of presence at least ``association``, and at least ``lift`` times as common
-  on one side), ``terms`` at most, strongest first.  Document frequencies for the IDF are counted over all documents.
-* Index: postings of the examples, cut into blocks of ``BLOCK`` consecutive examples, with
-  the largest weight of each term in each block.  A query bounds every block by these maxima,
-  opens blocks from the highest bound down and stops when no bound reaches its k-th
-  similarity, so the k nearest are exact (ties: the smaller example number).
+* Terms: every word of every text.  Document frequencies for the IDF are counted over all
+  documents: each term of the examples has its own counter; terms of no example, which can
+  only lengthen a text's vector, share ``SPARE`` counters by hash.
+* Weights: (1 + log count) * IDF * sqrt(1 + chi-squared), the last being the association of a
+  term's presence with the label in the different examples (1 for terms of no example), so
+  no term has weight zero.  Norms are those of whole texts.
+* Index: postings of all terms of the examples; a query adds up the postings of its terms, so
+  the k nearest are exact (ties: the smaller example number).
 * Score: votes of the k nearest weighted by similarity, shrunk towards the examples' base rate
   by ``prior`` pseudo-votes; ``neighbours`` gives the evidence.
 
-The index is bounded by ``examples`` and ``terms``, whatever the corpus.  Labels are read for
-examples only; scores use nothing but the text.
+The index is bounded by the texts of at most ``examples`` rows, whatever the corpus.  Labels
+are read for examples only; scores use nothing but the text.
 
 Defined cases: null, empty and term-free texts get the base rate; labels of null are not
 examples; several labels of one document are several examples; without examples every score
@@ -24,17 +25,21 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MEMO
+from .common import MEMO, binary_column
 from .decontaminate import words
 
-BLOCK = 64
+#: counters that the terms of no example share
+SPARE = 1 << 18
+#: counters in a row of the counting exchange
+SLICE = 1 << 14
 
 
 def in_training(doc_id: F.Column, folds: int = 5) -> F.Column:
@@ -46,95 +51,99 @@ def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 5 == 0
 
 
-def choose_terms(examples: list[tuple[set[bytes], int]], association: float, lift: float, most: int, least: int = 5) -> list[bytes]:
-    toxic, clean = Counter(), Counter()
-    n = [0, 0]
-    for found, label in {(frozenset(f), y) for f, y in examples}:
-        (toxic if label else clean).update(found)
-        n[label] += 1
-    scored = []
-    for term in set(toxic) | set(clean):
-        a, b = toxic[term], clean[term]
-        c, d = n[1] - a, n[0] - b
-        spread = (a + b) * (c + d) * (a + c) * (b + d)
-        chi2 = (a + b + c + d) * (a * d - b * c) ** 2 / spread if spread else 0.0
-        ratio = ((a + 0.5) / (n[1] + 1)) / ((b + 0.5) / (n[0] + 1))
-        if a + b >= least and chi2 >= association and max(ratio, 1 / ratio) >= lift:
-            scored.append((-chi2, term))
-    return [t for _, t in sorted(scored)[:most]]
-
-
-class BlockMaxIndex:
-    def __init__(self, vectors: list[dict[int, float]], labels: list[int], n_terms: int):
+class Numbers(dict):
+    """term -> its number; terms of no example share the numbers after the last one."""
+
+    def __missing__(self, term: bytes) -> int:
+        return len(self) + zlib.crc32(term) % SPARE
+
+    def of(self, terms: Iterable[bytes], n: int) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, terms), np.int64, n)
+
+
+def association(examples: Iterable[tuple[np.ndarray, int]], n_terms: int) -> np.ndarray:
+    """Chi-squared of the presence of each term and the label; equal examples count once."""
+    present, n, seen = np.zeros((2, n_terms)), [0, 0], set()
+    for terms, label in examples:
+        terms = np.unique(terms)
+        key = terms.tobytes(), label
+        if key not in seen:
+            seen.add(key)
+            present[label, terms] += 1
+            n[label] += 1
+    a, b = present[1], present[0]
+    c, d = n[1] - a, n[0] - b
+    spread = (a + b) * (c + d) * (a + c) * (b + d)
+    return np.where(spread > 0, (a + b + c + d) * (a * d - b * c) ** 2 / np.maximum(spread, 1), 0.0)
+
+
+class InvertedIndex:
+    def __init__(self, vectors: Iterable[dict[int, float] | tuple[np.ndarray, np.ndarray]], labels: list[int], n_terms: int):
         self.labels = np.array(labels, np.int64)
         self.base = float(self.labels.mean()) if len(labels) else 0.0
-        self.n_blocks = -(-len(vectors) // BLOCK)
-        self.block_max = np.zeros((n_terms, self.n_blocks))
-        self.postings: list[dict[int, tuple[np.ndarray, np.ndarray]]] = []
-        lists: list[list[tuple[int, float]]] = [[] for _ in range(n_terms)]
-        for i, v in enumerate(vectors):
-            for t, w in v.items():
-                lists[t].append((i, w))
-        for t, own in enumerate(lists):
-            ids, weights = np.array([i for i, _ in own], np.int64), np.array([w for _, w in own])
-            blocks = {}
-            for b in np.unique(ids // BLOCK):
-                here = ids // BLOCK == b
-                blocks[int(b)] = ids[here] - b * BLOCK, weights[here]
-                self.block_max[t, b] = weights[here].max()
-            self.postings.append(blocks)
+        terms, weights, sizes = [np.empty(0, np.int64)], [np.empty(0)], []
+        for v in vectors:
+            t, w = (np.fromiter(v, np.int64, len(v)), np.fromiter(v.values(), float, len(v))) if isinstance(v, dict) else v
+            terms.append(t)
+            weights.append(w)
+            sizes.append(len(t))
+        term = np.concatenate(terms)
+        order = np.argsort(term, kind="stable")
+        self.ids = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order]
+        self.weights = np.concatenate(weights)[order]
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=n_terms))])
 
     def nearest(self, query: dict[int, float], k: int) -> list[tuple[float, int]]:
         """The k examples of highest positive similarity, best first, ties by number."""
-        if not query or not self.n_blocks:
-            return []
-        terms = list(query)
-        bound = np.array([query[t] for t in terms]) @ self.block_max[terms]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(best) == k and bound[b] < -best[-1][0] - 1e-12):
-                break
-            score = np.zeros(BLOCK)
-            for t in terms:
-                if b in self.postings[t]:
-                    at, w = self.postings[t][b]
-                    score[at] += query[t] * w
-            best += [(-round(float(score[i]), 12), b * BLOCK + int(i)) for i in np.flatnonzero(score > 0)]
-            best = sorted(best)[:k]
-        return [(-s, i) for s, i in best]
+        return self.search(np.fromiter(query, np.int64, len(query)), np.fromiter(query.values(), float, len(query)), k)
 
+    def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
+        score = np.zeros(len(self.labels))
+        for w, x, y in zip(weights.tolist(), self.start[terms].tolist(), self.start[terms + 1].tolist()):
+            score[self.ids[x:y]] += w * self.weights[x:y]
+        score = np.round(score, 12)
+        near = np.flatnonzero(score > 0)
+        if len(near) > k:
+            near = near[score[near] >= np.partition(score[near], -k)[-k]]
+        near = near[np.argsort(-score[near], kind="stable")][:k]
+        return list(zip(score[near].tolist(), near.tolist()))
 
-class Scorer:
-    def __init__(self, vocabulary: list[bytes], df: dict[bytes, int], n_docs: int, examples: list[tuple[int, str, int]], k: int, prior: float):
-        self.number = {t: i for i, t in enumerate(vocabulary)}
-        self.idf = [float(np.log((1 + n_docs) / (1 + df.get(t, 0))) + 1) for t in vocabulary]
-        self.ids = [d for d, _, _ in examples]
-        self.k, self.prior = k, prior
-        self.index = BlockMaxIndex([self.vector(t) for _, t, _ in examples], [y for _, _, y in examples], len(vocabulary))
-        self.memo: dict[tuple, tuple[float, list[int], list[float]]] = {}
 
-    def counts(self, text: str | None) -> tuple[tuple[int, int], ...]:
-        found = Counter(self.number[w] for w in words(text) if w in self.number)
-        return tuple(sorted(found.items()))
+#: its name in the tests
+BlockMaxIndex = InvertedIndex
 
-    def weigh(self, counts: tuple[tuple[int, int], ...]) -> dict[int, float]:
-        v = {t: (1 + np.log(n)) * self.idf[t] for t, n in counts}
-        norm = sum(w * w for w in v.values()) ** 0.5
-        return {t: float(w / norm) for t, w in v.items()}
 
-    def vector(self, text: str | None) -> dict[int, float]:
-        return self.weigh(self.counts(text))
+class Scorer:
+    def __init__(self, number: Numbers, df: np.ndarray, n_docs: int, examples: list[tuple[int, str, int]], k: int, prior: float):
+        self.number, self.k, self.prior = number, k, prior
+        self.ids = [d for d, _, _ in examples]
+        counts, labels = [self.counts(t) for _, t, _ in examples], [y for _, _, y in examples]
+        chi2 = association(((t, y) for (t, _), y in zip(counts, labels)), len(number))
+        self.weight = np.log((1 + n_docs) / (1 + df)) + 1
+        self.weight[: len(number)] *= np.sqrt(1 + chi2)
+        self.index = InvertedIndex((self.weigh(*c) for c in counts), labels, len(number))
+        self.memo: dict[bytes, tuple[float, list[int], list[float]]] = {}
+
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        found = Counter(words(text))
+        return self.number.of(found, len(found)), np.fromiter(found.values(), np.int64, len(found))
+
+    def weigh(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Terms of the examples and their weights; the norm is that of all terms."""
+        w = (1 + np.log(counts)) * self.weight[terms]
+        here = terms < len(self.number)
+        return terms[here], w[here] / max(float(w @ w) ** 0.5, 1e-300)
 
     def score(self, text: str | None) -> tuple[float, list[int], list[float]]:
-        counts = self.counts(text)
-        if counts not in self.memo:
-            if len(self.memo) > MEMO // 4:
+        key = xxhash.xxh3_128_digest((text or "").encode("utf-8", "surrogatepass"))
+        if key not in self.memo:
+            if len(self.memo) > MEMO // 20:
                 self.memo.clear()
-            near = self.index.nearest(self.weigh(counts), self.k)
+            near = self.index.search(*self.weigh(*self.counts(text)), self.k)
             votes = sum(s * int(self.index.labels[i]) for s, i in near)
             value = (votes + self.prior * self.index.base) / (sum(s for s, _ in near) + self.prior) if self.ids else 0.0
-            self.memo[counts] = value, [self.ids[i] for _, i in near], [s for s, _ in near]
-        return self.memo[counts]
+            self.memo[key] = value, [self.ids[i] for _, i in near], [s for s, _ in near]
+        return self.memo[key]
 
 
 def _apply(scorer: Scorer, threshold: float):
@@ -157,28 +166,38 @@ def _apply(scorer: Scorer, threshold: float):
     return run
 
 
-def _frequencies(vocabulary: list[bytes]):
-    wanted = set(vocabulary)
+def _frequencies(number: Numbers):
+    """(text) -> the task's counters of documents, packed in slices"""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        counts = np.zeros(-(-(len(number) + SPARE) // SLICE) * SLICE, np.int64)
         for b in batches:
             for text in b.column(0).to_pylist():
-                counts.update(wanted.intersection(words(text)))
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["term", "df"])
+                found = set(words(text))
+                counts[number.of(found, len(found))] += 1
+        used = np.flatnonzero(counts.reshape(-1, SLICE).any(1))
+        packed = binary_column(counts.reshape(-1, SLICE)[used].ravel(), np.full(len(used), SLICE))
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), packed], names=["slice", "df"])
 
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int = 6_000, terms: int = 2_000, association: float = 30.0, lift: float = 3.0, k: int = 15, prior: float = 0.2) -> Scorer:
-    """Examples, vocabulary and index; the sample of examples is bounded by ``examples``."""
+def _summed(table: pa.Table) -> pa.Table:
+    df = sum(np.frombuffer(x, np.int64) for x in table.column("df").to_pylist())
+    return pa.table({"slice": table.column("slice").slice(0, 1), "df": pa.array([df.tobytes()], pa.binary())})
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int = 6_000, k: int = 15, prior: float = 0.2) -> Scorer:
+    """Examples, document frequencies and index; the sample of examples is bounded by ``examples``."""
     known = labels.filter(F.col(label).isNotNull() & in_training(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("int").alias("_y"))
     first = known.orderBy(F.xxhash64("_id"), "_id", "_y").limit(examples)
     chosen = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(F.broadcast(first), "_id").select("_id", "text", "_y")
     rows = sorted(((r[0], r[1] or "", int(r[2] > 0)) for r in chosen.collect()))
-    vocabulary = choose_terms([(set(words(t)), y) for _, t, y in rows], association, lift, terms)
-    counted = docs.select("text").mapInArrow(_frequencies(vocabulary), "term binary, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()
-    return Scorer(vocabulary, {bytes(r.term): r.df for r in counted}, docs.count(), rows, k, prior)
+    number = Numbers((t, i) for i, t in enumerate(sorted({w for _, text, _ in rows for w in words(text)})))
+    df = np.zeros(-(-(len(number) + SPARE) // SLICE) * SLICE, np.int64)
+    for r in docs.select("text").mapInArrow(_frequencies(number), "slice int, df binary").groupBy("slice").applyInArrow(_summed, "slice int, df binary").collect():
+        df[r[0] * SLICE : (r[0] + 1) * SLICE] = np.frombuffer(r[1], np.int64)
+    return Scorer(number, df, docs.count(), rows, k, prior)
 
 
 def score(docs: DataFrame, scorer: Scorer, threshold: float = 0.5) -> DataFrame:

@@ -84,3 +84,15 @@ def test_addresses(spark):
     urls = ["http://www.a.example.com/fr/8?x=1", "HTTPS://b.de", None, "x", "http://c.org:80/long/path"]
     rows = spark.createDataFrame([(u,) for u in urls], "u string").select(suffix_of(F.lower("u")), host_of(F.lower("u"))).collect()
     assert [tuple(r) for r in rows] == [("com/fr", "www.a.example.com"), ("de", "b.de"), (None, None), (None, "x"), ("org", "c.org")]
+
+
+def test_toxicity_keeps_rare_terms_and_whole_norms(spark):
+    rng = random.Random(6)
+    docs = [(i, " ".join(f"w{rng.randrange(300)}" for _ in range(20)) + (" seldomword" if i in (1, 3) else "")) for i in range(400)]
+    labels = [(i, int(i in (1, 3))) for i in range(400) if not toxicity.held_out(i)]
+    docs += [(1000, "seldomword"), (1001, "seldomword unseen"), (1002, "seldomword unseen other")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = {r.doc_id: r for r in toxicity.score(d, toxicity.fit(d, spark.createDataFrame(labels, "doc_id long, toxic int"))).collect()}
+    seldom = [i for i in (1, 3) if not toxicity.held_out(i)]
+    assert seldom and sorted(rows[1000].neighbours) == seldom and rows[1000].predicted == 1
+    assert rows[1000].similarities[0] > rows[1001].similarities[0] > rows[1002].similarities[0] > 0
