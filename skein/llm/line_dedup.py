@@ -3,7 +3,9 @@
 Lines are the pieces of a text between newlines, stripped.  Two lines are linked when they
 are equal, or when their edit distance (insert, delete, replace of code points) is at most
 ``edits`` and at most a tenth of the longer line.  Lines shorter than ``shortest`` code points
-are left alone.  The first line of a component, by (doc_id, line number), is kept.
+are linked only if they are equal and of ``equal_from`` code points at least (``shortest``, if
+it is not given); empty lines are never linked.  ``dedup_lines`` leaves short lines in the
+texts.  The first line of a component, by (doc_id, line number), is kept.
 
 1. Equal lines meet by a 128-bit hash in a grouped minimum, pre-aggregated on the map side.
 2. Every line is cut into ``edits + 1`` even segments and files each under (length, segment
@@ -15,7 +17,7 @@ are left alone.  The first line of a component, by (doc_id, line number), is kep
 3. Candidate pairs are verified by a banded bit-parallel edit distance on the whole lines.
 4. Components of the links give each line its class.
 
-Defined cases: a null text has no lines; an empty text has one short line; rows that repeat
+Defined cases: a null text has no lines; an empty text has one empty line; rows that repeat
 doc_id and text repeat their result; a null doc_id counts as the smallest.  Only ``doc_id``
 and ``text`` are read by the join; ``dedup_lines`` passes all other columns on.
 """
@@ -294,22 +296,22 @@ def _row(docs: DataFrame) -> F.Column:
     return F.xxhash64(F.col("text"))
 
 
-def line_classes(docs: DataFrame, edits: int = 2, shortest: int = 10) -> DataFrame:
+def line_classes(docs: DataFrame, edits: int = 2, shortest: int = 10, equal_from: int | None = None) -> DataFrame:
     """(doc_id, line_no, n_chars, class_doc_id, class_line_no, duplicate) of every line."""
-    return _classes(docs, edits, shortest).drop("row")
+    return _classes(docs, edits, shortest, shortest if equal_from is None else equal_from).drop("row")
 
 
-def _classes(docs: DataFrame, edits: int, shortest: int) -> DataFrame:
+def _classes(docs: DataFrame, edits: int, shortest: int, equal_from: int) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row(docs).alias("row"), F.col("text"))
     lines = cut(rows.mapInArrow(_hashes, "doc_id long, row long, line_no int, n_chars int, a long, b long"))
     place = F.struct("doc_id", "line_no", "row")
-    own = lines.filter(F.col("n_chars") >= shortest).groupBy("a", "b").agg(F.min(place).alias("first"))
+    own = lines.filter(F.col("n_chars") >= max(1, equal_from)).groupBy("a", "b").agg(F.min(place).alias("first"))
     comp = components(line_links(docs, edits, shortest))
     known = own.join(comp, F.col("a").bitwiseAND(F.lit(~1)) == F.col("node"), "left")
     heads = known.filter("component is not null").groupBy("component").agg(F.min("first").alias("head"))
     classes = known.join(heads, "component", "left").select("a", "b", F.coalesce("head", "first").alias("head"))
     here = F.struct("doc_id", "line_no", "row")
-    head = F.coalesce(F.when(F.col("n_chars") >= shortest, F.col("head")), here)
+    head = F.coalesce(F.when(F.col("n_chars") >= max(1, equal_from), F.col("head")), here)
     return (
         lines.join(classes, ["a", "b"], "left")
         .withColumn("head", head)
@@ -320,9 +322,10 @@ def _classes(docs: DataFrame, edits: int, shortest: int) -> DataFrame:
 def dedup_lines(docs: DataFrame, edits: int = 2, shortest: int = 10) -> DataFrame:
     """``docs`` without duplicate lines; a document of which no line is left goes.
 
+    Lines under ``shortest`` code points stay, equal or not.
     A document without duplicate lines keeps its text as it was; so do null texts.
     """
-    gone = _classes(docs, edits, shortest).filter("duplicate").groupBy(F.col("doc_id").alias("_doc"), F.col("row").alias("_row")).agg(F.collect_set("line_no").alias("_gone"))
+    gone = _classes(docs, edits, shortest, shortest).filter("duplicate").groupBy(F.col("doc_id").alias("_doc"), F.col("row").alias("_row")).agg(F.collect_set("line_no").alias("_gone"))
     joined = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (_row(docs) == F.col("_row")), "left")
     pieces = F.split("text", "\n", -1)
     kept = F.array_join(F.filter(F.transform(pieces, lambda x, i: F.when(~F.array_contains("_gone", i), x)), lambda x: x.isNotNull()), "\n")

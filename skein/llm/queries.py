@@ -28,7 +28,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line with the first line of its class; duplicates are equal or within two edits."""
-    return line_classes(_table(spark, sf_dir, "documents"), edits=2, shortest=10)
+    return line_classes(_table(spark, sf_dir, "documents"), edits=2, shortest=10, equal_from=1)
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

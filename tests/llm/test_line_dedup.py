@@ -76,3 +76,12 @@ def test_dedup_keeps_clean_documents_and_columns(spark):
 def test_repeated_rows_and_one_id_with_two_texts(docs_of):
     got = sorted(tuple(r) for r in dedup_lines(docs_of([(1, "the very same line"), (1, "the very same line"), (2, "the very same line"), (2, "another line of two")])).collect())
     assert got == [(1, "the very same line"), (1, "the very same line"), (2, "another line of two")]
+
+
+def test_query_classes_equal_short_lines(spark, tmp_path):
+    from skein.llm.queries import op1_line_dedup
+
+    spark.createDataFrame([(1, "menu\nhome\n"), (2, "menu \nmenus\n")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.line_no): (r.class_doc_id, r.class_line_no, r.duplicate) for r in op1_line_dedup(spark, str(tmp_path)).collect()}
+    own = [(1, 0), (1, 1), (1, 2), (2, 1), (2, 2)]
+    assert got == {x: (*x, False) for x in own} | {(2, 0): (1, 0, True)}
