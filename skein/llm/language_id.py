@@ -3,8 +3,8 @@
 posterior(l) ~ P(text | l)^temper * P(declared | l) * P(address suffix | l) * prior(l | host)
 
 * Text: per-language likelihood of the letter trigrams of every word of the whole text.  The
-  trigram model is fitted on a bounded sample of rows with a declared language
-  (``sample_rows``, by hash of the text); only languages found there can be named.
+  trigram model is fitted on a bounded sample of different texts of every declared language
+  (``sample_rows`` in equal parts, at least ``LEAST_ROWS`` of each, by hash of the text).
 * Declared markup language and address suffix: how often each value goes with each language,
   by a grouped sum of the text posteriors over all rows, smoothed.
 * Host prior: grouped sums by host and by registered domain, smoothed hierarchically: host
@@ -26,12 +26,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import MEMO, cut, sized
 
 SAMPLE_ROWS = 2_000
+#: texts of each declared language in the sample at least
+LEAST_ROWS = 20
+#: steps of the hash by which texts are drawn
+SCALE = 1 << 30
 _LETTERS = bytes(c if c in range(0x61, 0x7B) or c >= 0x80 else 0x20 for c in range(256))
 
 
@@ -145,10 +149,15 @@ def identify(
         (F.col(host).cast("string") if host else host_of(F.col(address)) if address else none).alias("host"),
     )
     labelled = base.filter("declared is not null and text is not null").select("row", "text", "declared")
-    total = labelled.count()
-    share = min(1.0, sample_rows / max(1, total))
-    picked = labelled.filter(F.pmod("row", F.lit(1_000_000)) < math.ceil(share * 1_000_000)).limit(2 * sample_rows)
-    model = TextModel([(r.text, r.declared) for r in picked.select("text", "declared").collect()])
+    texts = cut(labelled.select("declared", "row").distinct())
+    sizes = texts.groupBy("declared").agg(F.count("*").alias("n"))
+    quota = max(LEAST_ROWS, sample_rows // max(1, sizes.count()))
+    # twice the quota passes by hash; the first of these, by hash again, are taken
+    drawn = texts.join(F.broadcast(sizes), "declared").filter(F.pmod("row", F.lit(SCALE)) * F.col("n") <= F.lit(2 * quota * SCALE).cast("double"))
+    order = Window.partitionBy("declared").orderBy(F.pmod("row", F.lit(SCALE)), "row")
+    picked = drawn.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= quota).select("declared", "row")
+    found = labelled.join(F.broadcast(picked), ["declared", "row"]).dropDuplicates(["declared", "row"])
+    model = TextModel([(r.text, r.declared) for r in found.select("text", "declared").collect()])
     names = model.languages
     if not names:
         return base.select(key, "row", none.alias("language"), F.lit(0.0).alias("confidence"), none.alias("text_language"), F.lit(False).alias("accepted"))

@@ -96,3 +96,11 @@ def test_toxicity_keeps_rare_terms_and_whole_norms(spark):
     seldom = [i for i in (1, 3) if not toxicity.held_out(i)]
     assert seldom and sorted(rows[1000].neighbours) == seldom and rows[1000].predicted == 1
     assert rows[1000].similarities[0] > rows[1001].similarities[0] > rows[1002].similarities[0] > 0
+
+
+def test_rare_languages_are_named_beside_many_copies(spark):
+    copies = [(i, "the house with the thing", "en") for i in range(3000)]
+    others = [(10_000 + i, f"der schöne nicht haus {'abcdefghij'[i % 10]}", "de") for i in range(30)] + [(20_000, "il était une fois la maison", "fr")]
+    docs = spark.createDataFrame(copies + others, "doc_id long, text string, lang string").withColumn("source", F.lit(None).cast("string"))
+    got = {r.doc_id: r.text_language for r in identify(docs, sample_rows=60).filter("doc_id >= 2999").collect()}
+    assert got[2999] == "en" and got[10_000] == "de" and got[20_000] == "fr"
