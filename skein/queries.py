@@ -626,8 +626,8 @@ def exact_limiter(t):
 
 @query()
 def repetition_log(t):
-    """Novelty of each benchmark-like first line of a document within its source."""
-    d = t("documents").select(F.col("doc_id").alias("id"), F.col("source").alias("bucket"), F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("long").alias("seq"), tx.token_set(F.split("text", "\n")[0]).alias("items"))
+    """Novelty of the whole text of each document within its source."""
+    d = t("documents").select(F.col("doc_id").alias("id"), F.col("source").alias("bucket"), F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("long").alias("seq"), tx.token_set("text").alias("items"))
     return repetition.replay(d)
 
 

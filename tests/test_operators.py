@@ -271,3 +271,12 @@ def test_bag_of_tokens_and_its_null(spark):
     df = spark.createDataFrame(rows, "k long, items array<string>, y int")
     assert bag_of_tokens(df, "items", "y", "k") > 0.85
     assert 0.3 < bag_of_tokens(df, "items", "y", "k", shuffle_labels=True) < 0.7
+
+
+def test_repetition_log_reads_whole_texts(spark, tmp_path):
+    from skein.queries import QUERIES
+
+    rows = [(1, "alpha beta\none two three", "s"), (2, "gamma delta\none two three", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.id: r.nearest for r in QUERIES["repetition_log"](spark, str(tmp_path)).collect()}
+    assert abs(got[2] - (1 - 3 / 7)) < 1e-9
