@@ -8,7 +8,9 @@ placement and the grouping are those of an ordinary shuffle; only the row overhe
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +19,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: pairs gathered by a task before it emits its slices
-FLUSH = 1_500_000
-#: entries of a per-worker memo before it starts afresh
-MEMO = 400_000
+FLUSH = 750_000
+#: entries of a per-worker memo before it starts afresh (about 15 MB)
+MEMO = 100_000
+#: rows of a batch that are turned into Python objects at once
+SMALL = 512
 
 
 def shuffle_parts(spark: SparkSession) -> int:
@@ -27,10 +31,18 @@ def shuffle_parts(spark: SparkSession) -> int:
 
 
 def with_checkpoints(spark: SparkSession) -> None:
-    """Use the session's ``spark.checkpoint.dir``; a temporary folder only where none is set."""
+    """Use the session's shared folder for checkpoints."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skein-checkpoint-"))
+        context.setCheckpointDir(shared_folder(spark))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session; a temporary folder only for a single local JVM."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named or tempfile.mkdtemp(prefix="skein-checkpoint-")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -48,6 +60,44 @@ def sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def free_name(stem: str, columns: list[str]) -> str:
+    """``stem`` with as many underscores behind it as tell it from all ``columns``."""
+    taken = {c.lower() for c in columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
+def small(batches: Iterator[pa.RecordBatch], rows: int = SMALL) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of ``rows`` at most, so that few texts are Python objects at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+#: what a Python worker keeps between tasks: the state of one operator at a time
+_STATE: dict[str, object] = {}
+
+
+def worker_state(name: str, make: Callable[[], object]) -> object:
+    """The worker's state of that name, made anew if another operator ran last.
+
+    Freed blocks go back to the system at once, so idle workers do not hold what they once used.
+    """
+    if name not in _STATE:
+        _STATE.clear()
+        pa.default_memory_pool().release_unused()
+        try:  # options -1 and -3 of the C library: thresholds of trimming and of mapped blocks
+            libc = ctypes.CDLL(None)
+            libc.mallopt(-1, 1 << 20)
+            libc.mallopt(-3, 1 << 20)
+            libc.malloc_trim(0)
+        except (OSError, AttributeError):
+            pass
+        _STATE[name] = make()
+    return _STATE[name]
+
+
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash, remembered within a worker."""
 
@@ -61,12 +111,15 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-_HASHES = WordHashes()
+def word_hashes() -> WordHashes:
+    """The worker's memo, kept for its next tasks of the same kind."""
+    return worker_state("word hashes", WordHashes)
 
 
-def word_hashes() -> WordHashes:
-    """The worker's memo, kept for its next tasks."""
-    return _HASHES
+def slices_for(texts: DataFrame, text: str = "text", chars: int = 4_000_000) -> int:
+    """Slices of a packed exchange: four for each shuffle partition, more if ``texts`` holds over ``chars`` characters for each."""
+    volume = texts.agg(F.sum(F.length(text))).first()[0] or 0
+    return max(4 * shuffle_parts(texts.sparkSession), -(-volume // chars))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -150,3 +203,25 @@ def components(edges: DataFrame) -> DataFrame:
         e = cut(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct())
     stars = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
+
+
+def bounded_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, chars: int) -> list[tuple[int, str, int]]:
+    """(doc_id, text, label) of labelled rows: the first by a hash of the id, ``rows`` of them and ``chars`` characters at most.
+
+    Labels and lengths of the first rows come to the driver before any text does; a text that
+    does not fit into what is left of ``chars`` is passed over.
+    """
+    known = labels.filter(F.col(label).isNotNull()).select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("int").alias("y"))
+    first = known.orderBy(F.xxhash64("id"), "id", "y").limit(rows)
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"), F.coalesce(F.length("text"), F.lit(0)).alias("n"), "text")
+    chosen = texts.join(F.broadcast(first), "id")
+    sizes = chosen.select("id", "hash", "n").distinct().orderBy(F.xxhash64("id"), "id", "hash").limit(rows).collect()
+    taken, left = [], chars
+    for r in sizes:
+        if r.n <= left:
+            left -= r.n
+            taken.append((r.id, r.hash))
+    if not taken:
+        return []
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(taken, "id long, hash long"))
+    return sorted((r[0], r[1] or "", r[2]) for r in chosen.join(wanted, ["id", "hash"]).dropDuplicates(["id", "hash", "y"]).select("id", "text", "y").collect())

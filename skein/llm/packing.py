@@ -23,6 +23,7 @@ often as they occur; a null doc_id is carried along; an empty table gives no pie
 from __future__ import annotations
 
 import bisect
+import json
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -30,16 +31,53 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, shuffle_parts
+from .common import cut, shuffle_parts, small, worker_state
 
-#: entries of a worker's memos of encoded pieces and words, and the longest entry
-PIECES, WORDS, MEMO_CHARS = 600_000, 900_000, 40
+#: entries of a worker's memo of encoded pieces (about 27 bytes each) and of encoded words (about 230 each)
+PIECES, WORDS = 700_000, 60_000
+#: bytes of the longest piece that is remembered
+SHORT = 64
+#: characters of a text that are encoded in one go; a longer text is cut at blanks
+LONG = 1_000_000
 #: fixed values of the tokenizer: how its normalised text is cut into words
-_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-_SPECIAL = regex.compile(r"<\|(?:start|end)oftext\|>")
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMALISERS = [("NFC", None), ("Replace", r"\s+"), ("Lowercase", None)]
+_WORDS = regex.compile(_PATTERN)
+#: beyond the basic plane, Unicode tables of different libraries disagree
+_ODD = regex.compile(r"[\U00010000-\U0010ffff]|<\|(?:start|end)oftext\|>")
+_CUTS = regex.compile(r"[ \n\t\r]+")
+
+
+class PieceMemo:
+    """Ids of short pieces, found by two 64-bit hashes: sorted numpy arrays instead of objects."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes, self.checks = np.empty(0, np.uint64), np.empty(0, np.uint64)
+        self.begin, self.size, self.ids = np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.uint32)
+
+    def find(self, hashes: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        """Entry of each piece, -1 for unknown ones."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where((self.hashes[at] == hashes) & (self.checks[at] == checks), at, -1)
+
+    def add(self, hashes: np.ndarray, checks: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        if len(self.hashes) + len(hashes) > PIECES:
+            self.clear()
+        begin = (np.cumsum(sizes) - sizes + len(self.ids)).astype(np.int32)
+        order = np.argsort(hashes, kind="stable")
+        at = np.searchsorted(self.hashes, hashes[order])
+        self.hashes, self.checks = np.insert(self.hashes, at, hashes[order]), np.insert(self.checks, at, checks[order])
+        self.begin, self.size = np.insert(self.begin, at, begin[order]), np.insert(self.size, at, sizes[order].astype(np.int32))
+        self.ids = np.concatenate([self.ids, ids])
 
 
 class WordEncoder:
@@ -50,18 +88,20 @@ class WordEncoder:
     a token that closes it.  So the distinct blank-separated pieces of a batch are looked up
     among those the worker remembers, new ones are cut into words, new words are encoded many
     at a time (closing tokens tell them apart), and numpy lays out the ids of all texts.
-    A text that holds a special token's string goes to the tokenizer as it is.
+    Pieces that hold a special token's string or characters beyond the basic plane go to the
+    tokenizer as they are.  A tokenizer of other rules than these encodes whole texts itself.
     """
 
     def __init__(self, tokenizer_path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.cuts_words = _cuts_words(tokenizer_path)
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
-        self.pieces: dict[bytes, bytes] = {}
+        self.memo = PieceMemo()
 
     @staticmethod
     def normalised(text: str) -> bytes:
@@ -72,11 +112,13 @@ class WordEncoder:
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def learn(self, pieces: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of new pieces; short words and pieces are remembered."""
-        words = {p: _cut(p.decode("utf-8", "surrogatepass")) for p in pieces}
-        ids_of = {w: self.known[w] for own in words.values() for w in own if w in self.known}
-        new = list({w for own in words.values() for w in own if w not in ids_of})
+    def learn(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of new pieces; words are remembered."""
+        words = [_cut(p.decode("utf-8", "surrogatepass")) for p in pieces]
+        if len(self.known) > WORDS:
+            self.known.clear()
+        ids_of = {w: self.known[w] for own in words for w in own if w in self.known}
+        new = list({w for own in words for w in own if w not in ids_of})
         for at in range(0, len(new), 2048):
             part = new[at : at + 2048]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
@@ -86,50 +128,101 @@ class WordEncoder:
                 ids_of.update((w, flat[a:b]) for w, a, b in zip(part, [0, *bounds], bounds))
             else:
                 ids_of.update((w, self.whole(w).tobytes()) for w in part)
-        if len(self.known) > WORDS:
-            self.known.clear()
-        self.known.update((w, ids_of[w]) for w in new if len(w) <= MEMO_CHARS)
-        out = {p: b"".join(map(ids_of.__getitem__, own)) for p, own in words.items()}
-        if len(self.pieces) > PIECES:
-            self.pieces.clear()
-        self.pieces.update((p, i) for p, i in out.items() if len(p) <= MEMO_CHARS)
-        return out
+        self.known.update((w, ids_of[w]) for w in new[:WORDS] if len(w) <= SHORT)
+        return [b"".join(map(ids_of.__getitem__, own)) for own in words]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Unsigned 32-bit ids of each text."""
-        special = {i: self.whole(t) for i, t in enumerate(texts) if t and "oftext|>" in t and _SPECIAL.search(t)}
-        encoded = [b"" if i in special or not t else self.normalised(t) for i, t in enumerate(texts)]
+        if not self.cuts_words:
+            return [self.whole(t or "") for t in texts]
+        stretches, parts = [], []
+        for text in texts:
+            own = []
+            for stretch, plain in _stretches(text or ""):
+                own.append(len(stretches) if plain else self.whole(stretch))
+                if plain:
+                    stretches.append(stretch)
+            parts.append(own)
+        found = self.plain(stretches)
+        return [np.concatenate([np.empty(0, "<u4"), *(found[x] if isinstance(x, int) else x for x in own)]) if len(own) != 1 or not isinstance(own[0], int) else found[own[0]] for own in parts]
+
+    def plain(self, texts: list[str]) -> list[np.ndarray]:
+        encoded = [self.normalised(t) for t in texts]
         buffer = b"\n".join([b"", *encoded, b""])
         data = np.frombuffer(buffer, np.uint8)
         inside = ~_BLANK[data]
         edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
         starts, ends = edges[0::2], edges[1::2]
-        hashes = _piece_hashes(data, starts, ends)
-        _, example, number = np.unique(hashes, return_index=True, return_inverse=True)
-        traits = (ends - starts) << 24 | data[starts].astype(np.int64) << 16 | data[(starts + ends) // 2].astype(np.int64) << 8 | data[ends - 1]
-        if (traits != traits[example][number]).any():  # two pieces of one hash: number the pieces themselves
-            ids = {}
-            number = np.array([ids.setdefault(buffer[a:b], len(ids)) for a, b in zip(starts.tolist(), ends.tolist())])
-            _, example = np.unique(number, return_index=True)
-        pieces = [buffer[a:b] for a, b in zip(starts[example].tolist(), ends[example].tolist())]
-        known = self.pieces
-        found = [known.get(p) for p in pieces]
-        fresh = self.learn([p for p, f in zip(pieces, found) if f is None])
-        found = [fresh[p] if f is None else f for p, f in zip(pieces, found)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        flat, begin = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
+        hashes, checks = _piece_hashes(buffer, data, starts, ends)
+        unique, example, number = np.unique(hashes, return_index=True, return_inverse=True)
+        if (checks != checks[example][number]).any():  # two pieces of one hash: number the pairs of hashes
+            _, example, number = np.unique(np.stack([hashes, checks], 1), axis=0, return_index=True, return_inverse=True)
+            number = number.ravel()
+            unique = hashes[example]
+        at = self.memo.find(unique, checks[example])
+        fresh = np.flatnonzero(at < 0)
+        new = self.learn([buffer[a:b] for a, b in zip(starts[example[fresh]].tolist(), ends[example[fresh]].tolist())])
+        sizes, begin = np.empty(len(unique), np.int64), np.empty(len(unique), np.int64)
+        known = np.flatnonzero(at >= 0)
+        sizes[known], begin[known] = self.memo.size[at[known]], self.memo.begin[at[known]]
+        sizes[fresh] = np.fromiter(map(len, new), np.int64, len(new)) // 4
+        added = np.frombuffer(b"".join(new), "<u4")
+        begin[fresh] = np.cumsum(sizes[fresh]) - sizes[fresh] + len(self.memo.ids)
+        flat = np.concatenate([self.memo.ids, added])
         length = sizes[number]
         place = np.cumsum(length) - length
         ids = flat[np.arange(int(length.sum())) + np.repeat(begin[number] - place, length)]
+        keep = ends[example[fresh]] - starts[example[fresh]] <= SHORT
+        self.memo.add(unique[fresh][keep], checks[example[fresh]][keep], sizes[fresh][keep], added[np.repeat(keep, sizes[fresh])])
         bounds = np.cumsum([1, *(len(e) + 1 for e in encoded)])  # where each text starts in the buffer
         cut = np.append(place, len(ids))[np.searchsorted(starts, bounds)]
-        return [special.get(i, ids[cut[i] : cut[i + 1]]) for i in range(len(texts))]
+        return [ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
 
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
-_SEED = 0x9E3779B97F4A7C15
-_POWERS: list[np.ndarray] = []
+_ROWS = 1 << 15
+
+
+def _powers(seed: int) -> np.ndarray:
+    out = np.full(SHORT + 1, seed, np.uint64)
+    out[0] = seed >> 7 | 1
+    return np.multiply.accumulate(out)
+
+
+_FIRST, _SECOND = _powers(0x9E3779B97F4A7C15), _powers(0xC2B2AE3D27D4EB4F)
+
+
+def _cuts_words(tokenizer_path: str) -> bool:
+    """Whether the file states the rules by which this module cuts words."""
+    with open(tokenizer_path, encoding="utf-8") as file:
+        rules = json.load(file)
+    steps = [(n["type"], n.get("pattern", {}).get("Regex")) for n in (rules.get("normalizer") or {}).get("normalizers", ())]
+    splits = [p.get("pattern", {}).get("Regex") for p in (rules.get("pre_tokenizer") or {}).get("pretokenizers", ()) if p["type"] == "Split"]
+    return steps == _NORMALISERS and splits == [_PATTERN] and rules["model"].get("end_of_word_suffix") == "</w>"
+
+
+def _stretches(text: str) -> Iterator[tuple[str, bool]]:
+    """The text cut at blanks: bounded stretches of plain pieces, and odd pieces by themselves."""
+    odd = (not text.isascii() or "oftext|>" in text) and _ODD.search(text)
+    if len(text) <= LONG and not odd:
+        yield text, True
+        return
+    held, size = [], 0
+    for piece in _CUTS.split(text):
+        if odd and _ODD.search(piece):
+            if held:
+                yield " ".join(held), True
+            yield piece, False
+            held, size = [], 0
+        elif piece:
+            held.append(piece)
+            size += len(piece) + 1
+            if size > LONG:
+                yield " ".join(held), True
+                held, size = [], 0
+    if held:
+        yield " ".join(held), True
 
 
 def _cut(piece: str) -> list[str]:
@@ -140,31 +233,32 @@ def _cut(piece: str) -> list[str]:
     return _WORDS.findall(piece)
 
 
-def _piece_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Polynomial hashes modulo 2^64 of the pieces [start, end), from running sums."""
-    if not _POWERS or len(_POWERS[0]) < len(data):
-        n = max(1 << 20, 1 << len(data).bit_length())
-        up, down = np.full(n, _SEED, np.uint64), np.full(n, pow(_SEED, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        _POWERS[:] = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    up, down = _POWERS
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data + np.uint64(1)) * up[: len(data)], out=total[1:])
-    return (total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-
-
-_ENCODERS: dict[str, WordEncoder] = {}
+def _piece_hashes(buffer: bytes, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each piece [start, end); pieces are taken ``_ROWS`` at a time."""
+    first, second = np.empty(len(starts), np.uint64), np.empty(len(starts), np.uint64)
+    size = ends - starts
+    for i in np.flatnonzero(size > SHORT).tolist():
+        digest = xxhash.xxh3_128_digest(buffer[starts[i] : ends[i]])
+        first[i], second[i] = int.from_bytes(digest[:8], "little"), int.from_bytes(digest[8:], "little")
+    short = np.flatnonzero(size <= SHORT)
+    for at in range(0, len(short), _ROWS):
+        rows = short[at : at + _ROWS]
+        n = size[rows]
+        begin = np.cumsum(n) - n
+        inner = np.arange(int(n.sum())) - np.repeat(begin, n)
+        letters = data[inner + np.repeat(starts[rows], n)].astype(np.uint64) + np.uint64(1)
+        for out, powers, salt in ((first, _FIRST, 0xD6E8FEB86659FD93), (second, _SECOND, 0xA0761D6478BD642F)):
+            out[rows] = np.add.reduceat(letters * powers[inner], begin) + n.astype(np.uint64) * np.uint64(salt)
+    return first, second
 
 
 def encoder_of(tokenizer_path: str) -> WordEncoder:
-    """The worker's encoder, kept for its next tasks."""
-    if tokenizer_path not in _ENCODERS:
-        _ENCODERS[tokenizer_path] = WordEncoder(tokenizer_path)
-    return _ENCODERS[tokenizer_path]
+    """The worker's encoder, kept for its next tasks of the same kind."""
+    return worker_state(f"encoder {tokenizer_path}", lambda: WordEncoder(tokenizer_path))
 
 
 #: characters of text that are encoded at once
-BATCH_CHARS = 2_400_000
+BATCH_CHARS = 1_500_000
 
 
 def _pieces(tokenizer_path: str, closing_id: int, capacity: int, with_ids: bool):
@@ -183,7 +277,7 @@ def _pieces(tokenizer_path: str, closing_id: int, capacity: int, with_ids: bool)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, texts, size = [], [], 0
-        for b in batches:
+        for b in small(batches):
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 docs.append(doc_id)
                 texts.append(text)
@@ -230,7 +324,7 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: i
     return [(base[:, i].astype(int), int(m)) for i, m in enumerate(amount) if m > 0]
 
 
-def plan(counts: dict[int, int], capacity: int, groups: int = 32, small_share: float = 0.125, tolerances: tuple[float, ...] = (0.0025, 0.01, 0.03, 1.0)) -> list[tuple[int, int, int, int]]:
+def plan(counts: dict[int, int], capacity: int, groups: int = 64, small_share: float = 0.125, tolerances: tuple[float, ...] = (0.0025, 0.01, 0.03, 1.0)) -> list[tuple[int, int, int, int]]:
     """(length, first sequence, number of sequences, offset): where runs of equal pieces go.
 
     A configuration whose actual lengths leave more than a tolerance of the capacity empty is
@@ -341,7 +435,7 @@ def _place(placed: list[tuple[int, int, int, int]]):
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, closing_id: int = 0, groups: int = 32, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, closing_id: int = 0, groups: int = 64, with_ids: bool = False) -> DataFrame:
     """Pieces of all documents with the sequence and the offset where each lies."""
     spark = docs.sparkSession
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids

@@ -5,11 +5,13 @@ ordered thresholds (each is its predecessor plus a positive step).  x holds hash
 token-shape shares of the whole text and a few hashed features of its form.  From the tail
 probabilities follow the expected grade and the selection.
 
-The model is fitted on at most ``sample_rows`` rated rows, the first by a hash of their id;
-scoring reads every text once, and each worker remembers what a token contributes.
+The model is fitted on at most ``sample_rows`` rated rows and ``sample_chars`` characters, the first
+by a hash of their id; scoring reads every text once, and each worker remembers what a token
+contributes.
 
 Defined cases: a null or empty text has only its form features; null ratings are not fitted;
-fewer than two grades among the ratings give a constant model; rows are kept one for one.
+fewer than two grades among the ratings give a constant model; equal texts get equal results;
+rows are kept one for one.  Only the named columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MEMO
+from .common import MEMO, bounded_sample, small, worker_state
 from .toxicity import in_training
 
 BITS = 18
@@ -34,7 +36,7 @@ _RUNS = [(re.compile(p), r) for p, r in (("[A-ZÀ-ÖØ-Þ]{2,}", "AA"), ("[a-zß
 def shape(token: str) -> str:
     for pattern, by in _RUNS:
         token = pattern.sub(by, token)
-    return token[:12]
+    return token
 
 
 def bucket(name: str) -> int:
@@ -130,17 +132,19 @@ def fit_rows(rows: list[tuple[str, int]], rounds: int = 250, rate: float = 0.05,
     return Model(grades, weights, low[0] + np.concatenate([[0.0], np.cumsum(np.exp(steps))]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = 4_000) -> Model:
-    known = labels.filter(F.col(label).isNotNull() & in_training(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("int").alias("_y"))
-    first = known.orderBy(F.xxhash64("_id"), "_id", "_y").limit(sample_rows)
-    chosen = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(F.broadcast(first), "_id").select("_id", "text", "_y")
-    return fit_rows([(t, y) for _, t, y in sorted((r[0], r[1] or "", r[2]) for r in chosen.collect())])
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = 4_000, sample_chars: int = 24_000_000) -> Model:
+    """The model of a sample bounded by ``sample_rows`` and ``sample_chars``."""
+    rows = bounded_sample(docs, labels.filter(in_training(F.col("doc_id"))), label, sample_rows, sample_chars)
+    return fit_rows([(t, y) for _, t, y in rows])
 
 
-def _apply(model: Model, threshold: float):
+def _apply(shipped, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shipped.value
+        model.memo = worker_state("quality", dict)
+        model.memo.clear()  # another model may have filled it
         gaps = np.diff(model.grades)
-        for b in batches:
+        for b in small(batches):
             tails = [model.tails(model.value(t)) for t in b.column(1).to_pylist()]
             top = [float(t[-1]) if len(t) else 1.0 for t in tails]
             yield pa.RecordBatch.from_arrays(
@@ -154,4 +158,5 @@ def _apply(model: Model, threshold: float):
 def rate(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """(doc_id, expected_grade, tail_probabilities, p_top, keep) of every row."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.mapInArrow(_apply(model, threshold), "doc_id long, expected_grade double, tail_probabilities array<double>, p_top double, keep boolean")
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    return texts.mapInArrow(_apply(shipped, threshold), "doc_id long, expected_grade double, tail_probabilities array<double>, p_top double, keep boolean")

@@ -71,8 +71,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, and the group of equal canonical texts."""
     docs = _table(spark, sf_dir, "documents")
-    groups = exact_groups(docs).dropDuplicates(["doc_id", "fingerprint"])
     rows = edited(docs)
+    groups = exact_groups(docs, rows.select("doc_id", "fingerprint")).dropDuplicates(["doc_id", "fingerprint"])
     same = rows.doc_id.eqNullSafe(groups.doc_id) & (rows.fingerprint == groups.fingerprint)
     return rows.join(groups, same).select(*(rows[c] for c in rows.columns), "group_id", "copies")
 
