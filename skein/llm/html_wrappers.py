@@ -15,16 +15,22 @@ reader comments.  Outside an article, texts that every page of the host has in t
 go too, if the host has at least ``SEVERAL`` different pages; a text that is optional or under an
 optional tag stays, and a page that holds nothing else keeps all of its text.
 
-Defined cases: null or empty html has no text; markup may be cut off, unbalanced or upper
-case; a null or hostless url is a host of its own; repeated pages are repeated; an empty
-table gives no rows.
+Pages and wrappers stay bounded: tags nested deeper than ``DEEP`` belong to the region at that depth
+(their texts are kept), lists of over ``EXACT`` pairs of children are aligned greedily instead of by
+the longest common subsequence, and optional children of one key beyond ``MANY`` become one.
+
+Defined cases: null or empty html has no text; markup may be cut off, unbalanced, upper
+case or nested to any depth; a null or hostless url is a host of its own; repeated pages are repeated;
+an empty table gives no rows.  Only ``page_id``, ``url`` and ``html`` are read.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, sized
+from .common import cut, sized, small
 from .language_id import host_of
 
 _TAG = re.compile(
@@ -55,6 +61,8 @@ LEFT_OUT_WORDS = frozenset(
 )
 KEPT_HEADS = frozenset("article main section".split())
 
+#: depth of a page's tree, pairs of children that are aligned exactly, children of a wrapper's node
+DEEP, EXACT, MANY = 100, 40_000, 400
 #: different pages from which a text that all of them share counts as the host's own
 SEVERAL = 5
 
@@ -65,12 +73,15 @@ class Page:
     def __init__(self, source: str | None):
         self.texts: list[tuple[tuple[str, ...], bool, str, bool]] = []
         source = source or ""
-        stack: list[tuple[str, str, bool]] = []
+        # of each open tag: name, left out, inside a kept head, place of the nearest p that a block would end
+        stack: list[tuple[str, bool, bool, int]] = []
+        opened: Counter = Counter()
         path: tuple[str, ...] = ()
         fresh, at = True, 0
 
         def pop_to(depth: int) -> None:
             nonlocal path
+            opened.subtract(entry[0] for entry in stack[depth:])
             del stack[depth:]
             path = path[:depth]
 
@@ -78,7 +89,7 @@ class Page:
             tag = _TAG.search(source, at)
             end = tag.start() if tag else len(source)
             if end > at:
-                self.texts.append((path, bool(stack) and stack[-1][2], html.unescape(source[at:end]), fresh))
+                self.texts.append((path, bool(stack) and stack[-1][1], html.unescape(source[at:end]), fresh))
                 fresh = False
             if not tag:
                 break
@@ -89,9 +100,8 @@ class Page:
             closing, attributes = bool(tag[1] or tag[4]), tag[3] or tag[6] or ""
             fresh = fresh or name not in INLINE
             if closing:
-                depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-                if depth is not None:
-                    pop_to(depth)
+                if opened[name]:
+                    pop_to(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
                 continue
             if name in RAW and not attributes.rstrip().endswith("/"):
                 close = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*>?", re.I).search(source, at)
@@ -100,19 +110,22 @@ class Page:
             if name in VOID or attributes.endswith("/") and name not in ENDS_P:
                 continue
             if name in ENDS_P:
-                depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)
-                if depth is not None and not any(s[0] in ("td", "th", "button", "object") for s in stack[depth:]):
-                    pop_to(depth)
+                if stack and stack[-1][3] >= 0:
+                    pop_to(stack[-1][3])
             elif name in SIBLINGS:
                 ends, scope = SIBLINGS[name]
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in ends:
+                for i in range(len(stack) - 1, max(-1, len(stack) - 1 - DEEP), -1):
+                    if i < len(stack) and stack[i][0] in ends:
                         pop_to(i)
-                    elif stack[i][0] in scope:
+                    elif i < len(stack) and stack[i][0] in scope:
                         break
-            key, out = self._key(name, attributes, any(s[0] in KEPT_HEADS for s in stack))
-            stack.append((name, key, out or bool(stack) and stack[-1][2]))
-            path = (*path, key)
+            above = stack[-1] if stack else ("", False, False, -1)
+            key, out = self._key(name, attributes, above[2])
+            nearest = len(stack) if name == "p" else -1 if name in ("td", "th", "button", "object") else above[3]
+            stack.append((name, out or above[1], above[2] or name in KEPT_HEADS, nearest))
+            opened[name] += 1
+            if len(path) < DEEP and len(path) == len(stack) - 1:
+                path = (*path, key)
 
     @staticmethod
     def _key(name: str, attributes: str, inside: bool) -> tuple[str, bool]:
@@ -168,47 +181,93 @@ def page_tree(page: Page) -> list:
 
 
 def _collapse(node: list) -> list:
-    """Repeated neighbouring groups become one repeated group."""
-    children = [_collapse(c) for c in node[5]]
-    for period in (1, 2, 3):
-        at = 0
-        while at + 2 * period <= len(children):
-            one, two = children[at : at + period], children[at + period : at + 2 * period]
-            if [c[0] for c in one] == [c[0] for c in two]:
+    """Repeated neighbouring groups of up to three tags become one repeated group."""
+    children: list[list] = []
+    for child in map(_collapse, node[5]):
+        children.append(child)
+        for period in (1, 2, 3):
+            one, two = children[-2 * period : -period], children[-period:]
+            if len(one) == period and [c[0] for c in one] == [c[0] for c in two]:
                 merged = [merge(x, y) for x, y in zip(one, two)]
                 for m in merged:
                     m[2] = True
-                children[at : at + 2 * period] = merged
-            else:
-                at += 1
+                children[-2 * period :] = merged
+                break
     return [*node[:5], children]
 
 
+def _aligned(left: list[str], right: list[str]) -> list[tuple[int, int]]:
+    """Places of equal keys, ascending on both sides."""
+    n, m = len(left), len(right)
+    head = 0
+    while head < min(n, m) and left[head] == right[head]:
+        head += 1
+    tail = 0
+    while tail < min(n, m) - head and left[n - 1 - tail] == right[m - 1 - tail]:
+        tail += 1
+    pairs = [(i, i) for i in range(head)]
+    rows, columns = n - head - tail, m - head - tail
+    if rows * columns > EXACT:
+        places: dict[str, list[int]] = {}
+        for j in range(head, m - tail):
+            places.setdefault(right[j], []).append(j)
+        j = head
+        for i in range(head, n - tail):
+            own = places.get(left[i], [])
+            at = bisect.bisect_left(own, j)
+            if at < len(own):
+                pairs.append((i, own[at]))
+                j = own[at] + 1
+    elif rows and columns:
+        best = [[0] * (columns + 1) for _ in range(rows + 1)]
+        for i in range(rows - 1, -1, -1):
+            for j in range(columns - 1, -1, -1):
+                best[i][j] = 1 + best[i + 1][j + 1] if left[head + i] == right[head + j] else max(best[i + 1][j], best[i][j + 1])
+        i = j = 0
+        while i < rows and j < columns:
+            if left[head + i] == right[head + j]:
+                pairs.append((head + i, head + j))
+                i, j = i + 1, j + 1
+            elif best[i + 1][j] >= best[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+    return pairs + [(n - k, m - k) for k in range(tail, 0, -1)]
+
+
 def merge(a: list, b: list) -> list:
     """Aligns two wrappers of one key."""
     out = [a[0], a[1] or b[1], a[2] or b[2], a[3] if a[3] == b[3] else None, a[4] + b[4], []]
     if a[0] == "#text" and out[3] is None:
         out[4] += (len(a[3]) if a[3] is not None else 0) + (len(b[3]) if b[3] is not None else 0)
     left, right = a[5], b[5]
-    n, m = len(left), len(right)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = 1 + best[i + 1][j + 1] if left[i][0] == right[j][0] else max(best[i + 1][j], best[i][j + 1])
-    i = j = 0
-    while i < n or j < m:
-        if i < n and j < m and left[i][0] == right[j][0]:
+    x = y = 0
+    for i, j in [*_aligned([c[0] for c in left], [c[0] for c in right]), (len(left), len(right))]:
+        out[5] += [[c[0], True, *c[2:]] for c in (*left[x:i], *right[y:j])]
+        if i < len(left):
             out[5].append(merge(left[i], right[j]))
-            i, j = i + 1, j + 1
-        elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            out[5].append([left[i][0], True, *left[i][2:]])
-            i += 1
-        else:
-            out[5].append([right[j][0], True, *right[j][2:]])
-            j += 1
+        x, y = i + 1, j + 1
+    if len(out[5]) > MANY:
+        out[5] = _generalised(out[5])
     return out
 
 
+def _generalised(children: list[list]) -> list[list]:
+    """Optional children of one key become one optional repeated child, where the first of them stood."""
+    kept: list[list] = []
+    first: dict[str, int] = {}
+    for c in children:
+        if not c[1]:
+            kept.append(c)
+        elif c[0] in first:
+            kept[first[c[0]]] = merge(kept[first[c[0]]], c)
+            kept[first[c[0]]][2] = True
+        else:
+            first[c[0]] = len(kept)
+            kept.append(c)
+    return kept
+
+
 def regex(node: list) -> str:
     """The wrapper as a union-free regular expression over tags, constants and slots."""
     if node[0] == "#text":
@@ -224,12 +283,12 @@ def _has_slots(node: list) -> bool:
     return node[3] is None if node[0] == "#text" else any(map(_has_slots, node[5]))
 
 
-def main_region(wrapper: list) -> tuple[list[str], list[list[str]], bool]:
+def main_region(wrapper: list, different: int = SEVERAL) -> tuple[list[str], list[list[str]], bool]:
     """(path of the main region, paths of the texts that all pages share, whether it is an article or main region)."""
     found: list[tuple[int, list[str]]] = []
     constants: list[list[str]] = []
-    # pages that are all equal have no slots: their constants are their text
-    weight = 100 if _has_slots(wrapper) else 1
+    # few different pages do not tell constants from text, equal pages have no slots: constants are their text
+    weight = 100 if different >= SEVERAL and _has_slots(wrapper) else 1
 
     def volume(node: list, path: list[str], optional: bool) -> int:
         optional = optional or node[1]
@@ -294,7 +353,7 @@ def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["host", "wrapper", "pages", "different"],
         )
 
-    for b in batches:
+    for b in small(batches):
         for host, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             tree = page_tree(Page(source))
             known, n, seen = wrappers.get(host) or (None, 0, set())
@@ -314,14 +373,14 @@ def _merge_host(table: pa.Table) -> pa.Table:
         wrapper, pages = one if wrapper is None else merge(wrapper, one), pages + n
         seen.update(json.loads(different))
     expression = regex(wrapper)
-    region, constants, semantic = main_region(wrapper)
+    region, constants, semantic = main_region(wrapper, len(seen))
     rule = {"region": region, "semantic": semantic, "constants": constants if len(seen) >= SEVERAL and not semantic else []}
     return pa.table({"host": table.column("host").slice(0, 1), "pages": pa.array([pages], pa.int64()), "wrapper": [expression], "rule": [json.dumps(rule)]})
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rules: dict[str, tuple[list[str], frozenset, bool]] = {}
-    for b in batches:
+    for b in small(batches):
         texts = []
         for source, rule in zip(b.column("html").to_pylist(), b.column("rule").to_pylist()):
             if rule not in rules:

@@ -32,12 +32,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Packer, components, cut, packed_schema, shuffle_parts, unpack
+from .common import Packer, components, cut, free_name, packed_schema, slices_for, small, unpack
 
 #: ids of candidate lines that may be shipped to all tasks (8 bytes each); beyond it they are joined
 SHIPPED_IDS = 1_000_000
 #: lines a task remembers so as not to file a repeated line again
-SEEN = 300_000
+SEEN = 150_000
 
 
 def lines_of(text: str | None) -> list[str]:
@@ -142,7 +142,7 @@ def _may_link(length: int, edits: int) -> int:
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, row, text) -> a row for each line"""
-    for b in batches:
+    for b in small(batches):
         rows = []
         for doc_id, row, text in zip(*(c.to_pylist() for c in b.columns)):
             rows += [(doc_id, row, n, len(line), *line_hash(line)) for n, line in enumerate(lines_of(text))]
@@ -174,7 +174,7 @@ def _keys(edits: int, shortest: int, parts: int):
             ask = [(4 * at, 4 * (at + size), (other << 6) + i) for other, i, at, size in probes(length, edits)]
             return own + ask, np.array([0] * len(own) + [1] * len(ask), np.int64)
 
-        for b in batches:
+        for b in small(batches):
             for text in b.column(0).to_pylist():
                 for line in lines_of(text):
                     if len(line) < shortest or not _may_link(len(line), edits):
@@ -248,7 +248,7 @@ def _texts(edits: int, shortest: int, wanted: np.ndarray | None):
     """(text) -> (id, line) of the wanted lines, or of all that may be linked"""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             rows = {}
             for text in b.column(0).to_pylist():
                 for line in lines_of(text):
@@ -276,7 +276,7 @@ def _verify(edits: int):
 def line_links(docs: DataFrame, edits: int = 2, shortest: int = 10) -> DataFrame:
     """(a, b): ids of different lines within the distance, each pair once."""
     texts = docs.select("text").filter("text is not null")
-    parts = 4 * shuffle_parts(docs.sparkSession)
+    parts = slices_for(texts)
     packed = texts.mapInArrow(_keys(edits, shortest, parts), packed_schema(["key", "id", "cells"]))
     pairs = cut(packed.groupBy("part").applyInArrow(_candidates(edits), "a long, b long").distinct())
     ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
@@ -325,10 +325,11 @@ def dedup_lines(docs: DataFrame, edits: int = 2, shortest: int = 10) -> DataFram
     Lines under ``shortest`` code points stay, equal or not.
     A document without duplicate lines keeps its text as it was; so do null texts.
     """
-    gone = _classes(docs, edits, shortest, shortest).filter("duplicate").groupBy(F.col("doc_id").alias("_doc"), F.col("row").alias("_row")).agg(F.collect_set("line_no").alias("_gone"))
-    joined = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (_row(docs) == F.col("_row")), "left")
+    doc, row, gone_, left = (free_name(c, docs.columns) for c in ("doc", "row", "gone", "left"))
+    gone = _classes(docs, edits, shortest, shortest).filter("duplicate").groupBy(F.col("doc_id").alias(doc), F.col("row").alias(row)).agg(F.collect_set("line_no").alias(gone_))
+    joined = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (_row(docs) == F.col(row)), "left")
     pieces = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(F.transform(pieces, lambda x, i: F.when(~F.array_contains("_gone", i), x)), lambda x: x.isNotNull()), "\n")
-    out = joined.withColumn("_left", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept))
-    out = out.filter(F.col("_gone").isNull() | (F.trim("_left") != ""))
-    return out.select([F.col("_left").alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    kept = F.array_join(F.filter(F.transform(pieces, lambda x, i: F.when(~F.array_contains(gone_, i), x)), lambda x: x.isNotNull()), "\n")
+    out = joined.withColumn(left, F.when(F.col(gone_).isNull(), F.col("text")).otherwise(kept))
+    out = out.filter(F.col(gone_).isNull() | (F.trim(left) != ""))
+    return out.select([F.col(left).alias(c) if c == "text" else F.col(c) for c in docs.columns])

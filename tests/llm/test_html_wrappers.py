@@ -46,3 +46,15 @@ def test_equal_pages_keep_their_text(spark):
     same = "<html><body><div class=top>Site name</div><div class=page><h2>A story that all pages tell</h2><p>and its end.</p></div></body></html>"
     rows = [(i, "http://e.example.com/", same) for i in range(9)] + [(i, "http://f.example.com/", same.replace("name", "N" * (i % 3))) for i in range(20, 29)]
     assert all("A story that all pages tell and its end." in r.text for r in main_texts(pages(spark, rows)).collect())
+
+
+def test_deep_wide_and_repeated_pages(spark):
+    import time
+
+    began = time.time()
+    deep, wide = "<div>" * 100_000 + "deep end" + "</div>" * 50_000, "<article>" + "".join(f"<p class=c{'abcdefgh'[i % 7]}{'xyz'[i % 5 % 3]}>w{i}</p>" for i in range(20_000)) + "</article>"
+    odd = "</x>" * 50_000 + "<p><td>" + "<div>" * 20_000 + "inner"
+    rows = [(1, "http://d.example.com/1", deep), (2, "http://d.example.com/2", wide), (3, "http://d.example.com/3", wide), (4, "http://e.example.com/4", odd), (5, "http://d.example.com/5", deep)]
+    got = {r.page_id: r.text for r in main_texts(spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, _host int")).collect()}
+    assert got[1] == got[5] == "deep end" and got[4] == "inner" and got[2] == got[3] == " ".join(f"w{i}" for i in range(20_000))
+    assert time.time() - began < 60

@@ -5,11 +5,12 @@ from skein.llm.queries import QUERIES
 def test_stages_take_effect_and_keep_clean_documents(spark, tmp_path):
     clean = [(i, " ".join(f"wort{(i * 31 + k * 7) % 997}x" + "abc"[k % 3] for k in range(80)), "en", "s", 1) for i in range(1, 20)]
     bench = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"
+    quoting = " ".join(f"wort{(50 * 31 + k * 7) % 997}x" + "abc"[k % 3] for k in range(80))
     rows = clean + [
         (100, clean[0][1], "en", "s", 1),
         (101, clean[1][1] + " extra", "en", "s", 1),
         (102, clean[2][1].replace("wort", "Wort", 3) + "\n" + clean[3][1], "en", "s", 1),
-        (103, "we quote " + bench + " here and say no more of it", "en", "s", 1),
+        (103, quoting + " " + bench + " wort1xa", "en", "s", 1),
         (104, "12345 !!", None, None, 1),
     ]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
