@@ -51,13 +51,6 @@ def seconds(span: Column) -> Column:
     return F.when(span.rlike(r"^\d+[dhms]$"), F.regexp_extract(span, r"^(\d+)", 1).cast("long") * unit[F.right(span, F.lit(1))])
 
 
-def stem(word: Column) -> Column:
-    """Strips one plural, one participle and one adverb ending where three letters are left."""
-    for ending in ("(ies|es|s)$", "(ing|ed)$", "ly$"):
-        word = F.when(F.length(F.regexp_replace(word, ending, "")) >= 3, F.regexp_replace(word, ending, "")).otherwise(word)
-    return word
-
-
 def hash_share(key: Column, salt: str) -> Column:
     """A number in [0, 1) that depends on the salted key alone."""
     return F.conv(F.substring(F.sha2(F.concat(F.lit(salt), key), 256), 1, 8), 16, 10).cast("double") / 4294967296.0

@@ -31,11 +31,11 @@ def wasserstein_pairs(moments: DataFrame, group: str, by: list[str] = []) -> Dat
     return met.select(*(a[c] for c in by), "a", "b", d.alias("w2"))
 
 
-def locatability(moments: DataFrame, group: str) -> DataFrame:
-    """(group, ratio, locatable): a group's standard error against the spread of group means."""
-    spread = F.stddev_samp("mean").over(Window.partitionBy())
+def locatability(moments: DataFrame, group: str, by: list[str] = []) -> DataFrame:
+    """(.., group, ratio, locatable): a group's standard error against the spread of group means."""
+    spread = F.stddev_samp("mean").over(Window.partitionBy(*by))
     ratio = F.try_divide(F.col("sd") / F.sqrt("n"), spread)
-    return moments.select(group, ratio.alias("ratio"), (ratio <= 0.5).alias("locatable"))
+    return moments.select(*by, group, ratio.alias("ratio"), (ratio <= 0.5).alias("locatable"))
 
 
 def holm(df: DataFrame, p: str, alpha: float = 0.05) -> DataFrame:
@@ -46,12 +46,35 @@ def holm(df: DataFrame, p: str, alpha: float = 0.05) -> DataFrame:
     return ok.withColumn("rejected", F.min("_ok").over(order.rowsBetween(Window.unboundedPreceding, 0)) == 1).drop("_ok")
 
 
+def running_sums(df: DataFrame, order: str, sums: list[str], slices: int = 64) -> DataFrame:
+    """One row for each distinct value of ``order``: the sums at it and, as ``<name>_before``, the sums at all smaller values.
+
+    Values are dealt to ranges (bounds from approximate quantiles), summed within each, and the
+    ranges' totals are added by a join of ``slices`` rows, so no task sorts the whole table.
+    """
+    h = df.groupBy(order).agg(*(F.sum(c).alias(c) for c in sums))
+    bounds = sorted({b for b in h.approxQuantile(order, [i / slices for i in range(1, slices)], 0.01)})
+    dealt = h.withColumn("_slice", F.expr(f"aggregate(array({', '.join(f'{b!r}D' for b in bounds)}), 0, (n, b) -> n + if({order} > b, 1, 0))") if bounds else F.lit(0))
+    inner = Window.partitionBy("_slice").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy("_slice").agg(*(F.sum(c).alias(c) for c in sums))
+    outer = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_slice", *(F.coalesce(F.sum(c).over(outer), F.lit(0)).alias(f"_{c}") for c in sums))
+    return dealt.select("*", *(F.coalesce(F.sum(c).over(inner), F.lit(0)).alias(f"{c}_before") for c in sums)).join(F.broadcast(offsets), "_slice").select(order, *sums, *((F.col(f"{c}_before") + F.col(f"_{c}")).alias(f"{c}_before") for c in sums))
+
+
+def order_statistics(df: DataFrame, group: str, value: str, places: dict) -> DataFrame:
+    """(group, ..): for each name the value at a place (from 0, a function of the group's size) of its sorted values, from the histogram."""
+    h = df.groupBy(group, value).agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(group)
+    h = h.withColumn("_upto", F.sum("_n").over(w.orderBy(value))).withColumn("_all", F.sum("_n").over(w))
+    return h.groupBy(group).agg(*(F.min(F.when(F.col("_upto") > place(F.col("_all")), F.col(value))).alias(name) for name, place in places.items()))
+
+
 def auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """(auc, positives, negatives) by mid-ranks over the histogram of distinct scores."""
-    h = df.groupBy(score).agg(F.sum(label).alias("_p"), F.sum(1 - F.col(label)).alias("_n"))
-    below = F.coalesce(F.sum("_n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = F.sum(F.col("_p") * (F.col("_below") + F.col("_n") / 2))
-    return h.withColumn("_below", below).agg(F.try_divide(won, F.sum("_p") * F.sum("_n")).alias("auc"), F.sum("_p").alias("positives"), F.sum("_n").alias("negatives"))
+    h = running_sums(df.select(F.col(score).alias("_s"), F.col(label).alias("p"), (1 - F.col(label)).alias("n")), "_s", ["p", "n"])
+    won = F.sum(F.col("p") * (F.col("n_before") + F.col("n") / 2))
+    return h.agg(F.try_divide(won, F.sum("p") * F.sum("n")).alias("auc"), F.sum("p").alias("positives"), F.sum("n").alias("negatives"))
 
 
 def cluster_bootstrap(df: DataFrame, cluster: str, value: str, draws: int = 2000, seed: int = 7, level: float = 0.95) -> DataFrame:
@@ -79,24 +102,26 @@ def cluster_bootstrap(df: DataFrame, cluster: str, value: str, draws: int = 2000
     return point.crossJoin(interval).select("mean", "low", "high", "clusters")
 
 
-def permutation_null(df: DataFrame, key: str, order: list[str], items: str, lag: int = 1, shuffles: int = 50, seed: int = 3) -> DataFrame:
+def permutation_null(df: DataFrame, key: str, order: list[str], items: str, lag: int = 1, shuffles: int = 50, seed: int = 3, cell: int = 20_000) -> DataFrame:
     """(lag, null_mean, null_sd): mean overlap when each pair's second turn is a random turn.
 
-    Each shuffle ranks all turns by a seeded hash within hash cells of bounded size and pairs
-    a turn with the turn next to it, so no shuffle sorts the table in one task.
+    Each shuffle ranks all turns by a seeded hash within hash cells of about ``cell`` rows, however
+    many rows there are, and pairs a turn with the turn next to it, so no shuffle sorts the
+    table in one task.
     """
-    rows = df.select(F.xxhash64(key, *order).alias("_id"), F.col(items).alias("_items"))
+    rows = df.select(F.xxhash64(key, *order).alias("_id"), F.transform(items, lambda x: F.xxhash64(x)).alias("_items"))
+    cells = max(1, rows.count() // cell)
     copies = rows.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(shuffles - 1))))
-    cells = F.pmod(F.xxhash64(F.lit(seed), "_r", "_id"), F.lit(64))
     w = Window.partitionBy("_r", "_cell").orderBy("_h", "_id")
-    paired = copies.withColumn("_cell", cells).withColumn("_h", F.xxhash64(F.lit(seed + 1), "_id", "_r")).withColumn("_other", F.lead("_items", lag).over(w))
+    paired = copies.withColumn("_cell", F.pmod(F.xxhash64(F.lit(seed), "_r", "_id"), F.lit(cells))).withColumn("_h", F.xxhash64(F.lit(seed + 1), "_id", "_r")).withColumn("_other", F.lead("_items", lag).over(w))
     means = paired.filter("_other is not null").groupBy("_r").agg(F.avg(F.size(F.array_intersect("_items", "_other"))).alias("m"))
     return means.agg(F.lit(lag).alias("lag"), F.avg("m").alias("null_mean"), F.stddev_samp("m").alias("null_sd"))
 
 
 def sign_flip(df: DataFrame, delta: str) -> DataFrame:
-    """(n, observed, p): exact sign-flip test of a mean over at most 20 differences."""
-    packed = df.agg(F.array_sort(F.collect_list(delta)).alias("d"))
+    """(n, observed, p): exact sign-flip test of a mean over at most 20 differences; more are refused."""
+    packed = df.filter(F.col(delta).isNotNull()).agg(F.array_sort(F.collect_list(delta)).alias("d"))
+    packed = packed.select(F.when(F.size("d") <= 20, F.col("d")).otherwise(F.raise_error(F.lit("over 20 differences have too many sign assignments")).cast("array<double>")).alias("d"))
     signs = packed.select("d", F.explode(F.sequence(F.lit(0), (F.lit(1) * F.pow(2, F.size("d")) - 1).cast("int"))).alias("mask"))
     flipped = F.aggregate(F.transform("d", lambda x, i: F.when(F.pmod(F.floor(F.col("mask") / F.pow(F.lit(2), i)), F.lit(2)) == 1, -x).otherwise(x)), F.lit(0.0), lambda a, x: a + x)
     observed = F.aggregate("d", F.lit(0.0), lambda a, x: a + x)

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 #: fixed limits of the decisions
 LEGAL_RATE, LEAK_RATE, MOVED_RANKS, SATURATED, CEILING = 0.90, 0.20, 2, 0.999, 0.90
@@ -48,13 +49,29 @@ def direction(delta: Column) -> Column:
 
 
 def panel(admitted: Column) -> Column:
-    return F.when(admitted == 0, "HALT").when(admitted == 1, "NARROW").otherwise("PANEL")
+    """HALT without an admitted observable, NARROW with fewer than three."""
+    return F.when(admitted == 0, "HALT").when(admitted < 3, "NARROW").otherwise("PANEL")
+
+
+def admitted(rank_range: Column, upper: Column) -> Column:
+    """A rank that moves at most two places and an upper limit under a half; a missing or NaN limit is never admitted."""
+    return F.coalesce((rank_range <= MOVED_RANKS) & (upper < 0.5) & ~F.isnan(upper.cast("double")), F.lit(False))
 
 
 def curve(first: Column, least: Column) -> Column:
     return F.when(least >= SATURATED, "SATURATED").when((first >= CEILING) & (least >= CEILING), "CEILING").otherwise("OPEN")
 
 
+def carry_decision(rate: Column, low: Column, high: Column, n: Column, least: int = 150, target: float = 0.65, floor: float = 0.5) -> Column:
+    """UNDECIDED under ``least`` pairs; ACCEPTED if the interval clears the floor and the rate the target; REJECTED if it lies under the floor."""
+    return F.when((n < least) | low.isNull(), "UNDECIDED").when((low > floor) & (rate >= target), "ACCEPTED").when(high <= floor, "REJECTED").otherwise("UNDECIDED")
+
+
+def over_axes(found: Column, readable: Column, axes: WindowSpec) -> Column:
+    """RECOVERED if any axis of the window shows an effect, WITHHELD if one could not have, BOUNDARY else."""
+    return F.when(F.bool_or(found).over(axes), "RECOVERED").when(F.bool_or(~readable).over(axes), "WITHHELD").otherwise("BOUNDARY")
+
+
 def recovered(significant: Column, readable: Column) -> Column:
     """RECOVERED on a significant readable axis, WITHHELD if nothing could be read, BOUNDARY else."""
     return F.when(~readable, "WITHHELD").when(significant, "RECOVERED").otherwise("BOUNDARY")

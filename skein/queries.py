@@ -396,16 +396,16 @@ def holm_step_down(t):
     return measures.holm(p, "p").select("name", "rejected")
 
 
-DIMS = "v as (select label, d, embedding[d + 1]::double as x from embeddings, (select unnest(range(0, 4)) as d))"
+DIMS = "v as (select label, unnest(range(0, len(embedding))) as d, unnest(embedding)::double as x from embeddings)"
 
 
 def dimensions(t) -> DataFrame:
-    return t("embeddings").select("label", F.posexplode(F.slice("embedding", 1, 4)).alias("d", "x")).withColumn("x", F.col("x").cast("double")).withColumn("d", F.col("d").cast("long"))
+    return t("embeddings").select("label", F.posexplode("embedding").alias("d", "x")).withColumn("x", F.col("x").cast("double")).withColumn("d", F.col("d").cast("long"))
 
 
 @query(f"with {DIMS}, g as (select d, label, avg(x) as m, var_samp(x) as v, count(*) as n from v group by all), s as (select d, avg(v) as within, greatest(0, var_samp(m) - avg(v) * avg(1.0 / n)) as between_ from g group by d) select d, round(between_, 6) as between, round(within, 6) as within, round(between_ / (between_ + within), 6) as icc from s")
 def icc_embeddings(t):
-    """Intraclass correlation of each of four coordinates."""
+    """Intraclass correlation of each coordinate."""
     return measures.icc(dimensions(t), "label", "x", ["d"]).select("d", r6("between").alias("between"), r6("within").alias("within"), r6("icc").alias("icc"))
 
 
@@ -415,18 +415,18 @@ def w2_centroids(t):
     return measures.wasserstein_pairs(measures.group_moments(dimensions(t), "label", "x", ["d"]), "label", ["d"]).withColumn("w2", r6("w2"))
 
 
-@query(f"with {DIMS}, g as (select label, avg(x) as m, stddev_samp(x) as s, count(*) as n from v where d = 0 group by all), r as (select label, s / sqrt(n) / stddev_samp(m) over () as ratio from g) select label, round(ratio, 6) as ratio, ratio <= 0.5 as locatable from r")
+@query(f"with {DIMS}, g as (select d, label, avg(x) as m, stddev_samp(x) as s, count(*) as n from v group by all), r as (select d, label, s / sqrt(n) / stddev_samp(m) over (partition by d) as ratio from g) select d, label, round(ratio, 6) as ratio, ratio <= 0.5 as locatable from r")
 def locatability(t):
-    """Whether a label's mean can be located."""
-    m = measures.group_moments(dimensions(t).filter("d = 0"), "label", "x")
-    return measures.locatability(m, "label").withColumn("ratio", r6("ratio"))
+    """Whether a label's mean can be located on each coordinate."""
+    m = measures.group_moments(dimensions(t), "label", "x", ["d"])
+    return measures.locatability(m, "label", ["d"]).withColumn("ratio", r6("ratio"))
 
 
 @query("select lang, list_sort(list(n_chars))[cast(floor(0.9 * (count(*) - 1)) as int) + 1] as p90, list_sort(list(n_chars))[least(cast(floor(0.5 * count(*)) as int), count(*) - 1) + 1] as mid, list_sort(list(n_chars))[cast(round_even(0.25 * (count(*) - 1), 0) as int) + 1] as q1 from documents group by all")
 def order_stat_p90(t):
-    """Order statistics by three index conventions."""
-    g = t("documents").groupBy("lang").agg(F.collect_list("n_chars").alias("v"))
-    return g.select("lang", stats.order_stat(F.col("v"), 0.9).alias("p90"), stats.order_stat(F.col("v"), 0.5, "index").alias("mid"), stats.order_stat(F.col("v"), 0.25, "round").alias("q1"))
+    """Order statistics by three index conventions, from the histogram of each language."""
+    places = {"p90": lambda n: F.floor(0.9 * (n - 1)), "mid": lambda n: F.least(F.floor(0.5 * n), n - 1), "q1": lambda n: F.bround(0.25 * (n - 1))}
+    return measures.order_statistics(t("documents"), "lang", "n_chars", places)
 
 
 @query("select lang, count(*) as n, count(distinct doc_id) as n_distinct, cast(sum(cast(('0x' || substr(sha256(cast(doc_id as varchar)), 1, 15)) as bigint)) as varchar) as digest from documents group by all")
@@ -483,10 +483,10 @@ def clipped_texts(t):
     return t("documents").select("doc_id", tx.clip(F.col("text"), 40).alias("clipped"))
 
 
-@query(f"with {DIMS.replace('select label, d,', 'select vec_id, label, d,')}, b as (select d, label, avg(x) as m, abs(avg(x) filter (vec_id % 2 = 0) - avg(x) filter (vec_id % 2 = 1)) as moved from v group by all) select d, round(stddev_samp(m) / avg(moved), 6) as contamination from b group by d")
+@query(f"with {DIMS.replace('select label,', 'select vec_id, label,')}, b as (select d, label, avg(x) as m, abs(avg(x) filter (vec_id % 2 = 0) - avg(x) filter (vec_id % 2 = 1)) as moved from v group by all) select d, round(stddev_samp(m) / avg(moved), 6) as contamination from b group by d")
 def half_contamination(t):
     """Spread of label means against how far the halves of a label move."""
-    v = t("embeddings").select("vec_id", "label", F.posexplode(F.slice("embedding", 1, 4)).alias("d", "x")).withColumn("x", F.col("x").cast("double"))
+    v = t("embeddings").select("vec_id", "label", F.posexplode("embedding").alias("d", "x")).withColumn("x", F.col("x").cast("double"))
     side = [F.avg(F.when(F.col("vec_id") % 2 == k, F.col("x"))) for k in (0, 1)]
     b = v.groupBy(F.col("d").cast("long").alias("d"), "label").agg(F.avg("x").alias("m"), F.abs(side[0] - side[1]).alias("moved"))
     return b.groupBy("d").agg(r6(F.stddev_samp("m") / F.avg("moved")).alias("contamination"))
@@ -500,23 +500,23 @@ def pool_centrality(t):
     return g.groupBy("d").agg(r6((pool - F.avg(rest)) / F.stddev_samp(rest)).alias("z"))
 
 
-@query(f"with {DIMS}, l as (select distinct label as dropped from embeddings), g as (select dropped, label, avg(x) as m, var_samp(x) as v, count(*) as n from v, l where d = 0 and label <> dropped group by all), s as (select dropped, avg(v) as within, greatest(0, var_samp(m) - avg(v) * avg(1.0 / n)) as b from g group by dropped) select dropped, round(b / (b + within), 6) as icc from s")
+@query(f"with {DIMS}, l as (select distinct label as dropped from embeddings), g as (select d, label, avg(x) as m, var_samp(x) as v, count(*) as n from v group by all), s as (select d, dropped, avg(v) as within, greatest(0, var_samp(m) - avg(v) * avg(1.0 / n)) as b from g, l where label <> dropped group by all) select d, dropped, round(b / (b + within), 6) as icc from s")
 def jackknife_icc(t):
     """Intraclass correlation without each label in turn, from the labels' moments."""
-    g = dimensions(t).filter("d = 0").groupBy("label").agg(F.avg("x").alias("m"), F.var_samp("x").alias("v"), F.count("*").alias("n"))
-    kept = g.crossJoin(F.broadcast(g.select(F.col("label").alias("dropped")))).filter("label != dropped")
-    s = kept.groupBy("dropped").agg(F.avg("v").alias("w"), F.var_samp("m").alias("bm"), F.avg(1 / F.col("n")).alias("inv"))
+    g = dimensions(t).groupBy("d", "label").agg(F.avg("x").alias("m"), F.var_samp("x").alias("v"), F.count("*").alias("n"))
+    labels = g.select("label").distinct().withColumnRenamed("label", "dropped")
+    s = g.crossJoin(labels).filter("label != dropped").groupBy("d", "dropped").agg(F.avg("v").alias("w"), F.var_samp("m").alias("bm"), F.avg(1 / F.col("n")).alias("inv"))
     b = F.greatest(F.lit(0.0), F.col("bm") - F.col("w") * F.col("inv"))
-    return s.select("dropped", r6(b / (b + F.col("w"))).alias("icc"))
+    return s.select("d", "dropped", r6(b / (b + F.col("w"))).alias("icc"))
 
 
-@query("""with r as (select event_type, value, row_number() over (partition by event_type order by sha256(cast(event_id as varchar))) - 1 as i from events), c as (select event_type, i // 40 as chunk, avg(value) as m from r group by all having count(*) = 40)
- select event_type, count(*) as chunks, round(avg(m), 6) as mean, round(stddev_samp(m), 6) as sd from c group by all""")
+@query("""with r as (select event_type, value, row_number() over (partition by event_type order by sha256(cast(event_id as varchar))) - 1 as i from events), c as (select event_type, i // 40 as chunk, sum(cast(value as decimal(18, 6))) as s, avg(value) as m from r group by all having count(*) = 40)
+ select event_type, count(*) as chunks, round(cast(sum(s) as double) / count(*) / 40, 4) as mean, round(stddev_samp(m), 4) as sd from c group by all""")
 def chunk_means(t):
-    """Means of whole chunks of 40 rows in an order that a hash decides."""
+    """Means of whole chunks of 40 rows in an order that a hash decides; sums are decimals, so their order does not matter."""
     i = F.row_number().over(Window.partitionBy("event_type").orderBy(F.sha2(F.col("event_id").cast("string"), 256))) - 1
-    c = t("events").select("event_type", "value", F.floor(i / 40).alias("chunk")).groupBy("event_type", "chunk").agg(F.avg("value").alias("m"), F.count("*").alias("n")).filter("n = 40")
-    return c.groupBy("event_type").agg(F.count("*").alias("chunks"), r6(F.avg("m")).alias("mean"), r6(F.stddev_samp("m")).alias("sd"))
+    c = t("events").select("event_type", "value", F.floor(i / 40).alias("chunk")).groupBy("event_type", "chunk").agg(F.sum(F.col("value").cast("decimal(18,6)")).alias("s"), F.avg("value").alias("m"), F.count("*").alias("n")).filter("n = 40")
+    return c.groupBy("event_type").agg(F.count("*").alias("chunks"), F.round(F.sum("s").cast("double") / F.count("*") / 40, 4).alias("mean"), F.round(F.stddev_samp("m"), 4).alias("sd"))
 
 
 @query(f"with {PAIRS}, c as (select prior = 'click' as chosen, following = 'purchase' as hit from p where following is not null) select count(*) filter (chosen) as n_pivot, count(*) filter (not chosen) as n_other, round(avg(hit::int) filter (chosen), 6) as rate_pivot, round(avg(hit::int) filter (not chosen), 6) as rate_other from c")
@@ -529,13 +529,12 @@ def rate_contrast(t):
 @query("""with u as (select user_id, avg(value) filter (event_type = 'purchase') as a, avg(value) filter (event_type = 'click') as b from events group by all), k as (select * from u where a is not null and b is not null)
  select count(*) as n, round((select avg(abs(x.a - y.b)) from k x, k y where x.user_id <> y.user_id) - avg(abs(a - b)), 4) as gain from k""")
 def pairing_gain(t):
-    """Mean distance of mismatched pairs less that of matched pairs; running sums, no pairs are made."""
+    """Mean distance of mismatched pairs less that of matched pairs; running sums over the histogram of values, no pairs are made."""
     side = [F.avg(F.when(F.col("event_type") == x, F.col("value"))).alias(n) for x, n in (("purchase", "a"), ("click", "b"))]
     k = t("events").groupBy("user_id").agg(*side).filter("a is not null and b is not null")
-    both = k.select(F.col("a").alias("v"), F.lit(1).alias("ia")).unionAll(k.select(F.col("b").alias("v"), F.lit(0).alias("ia")))
-    w = Window.orderBy("v", "ia").rowsBetween(Window.unboundedPreceding, 0)
-    before = both.withColumn("na", F.sum("ia").over(w)).withColumn("sa", F.sum(F.col("v") * F.col("ia")).over(w)).withColumn("nb", F.sum(1 - F.col("ia")).over(w)).withColumn("sb", F.sum(F.col("v") * (1 - F.col("ia"))).over(w))
-    every = before.agg(F.sum(F.when(F.col("ia") == 1, F.col("v") * F.col("nb") - F.col("sb")).otherwise(F.col("v") * F.col("na") - F.col("sa"))).alias("total"))
+    both = k.select(F.col("a").alias("v"), F.lit(1).alias("na"), F.lit(0).alias("nb")).unionAll(k.select(F.col("b").alias("v"), F.lit(0).alias("na"), F.lit(1).alias("nb")))
+    before = measures.running_sums(both.withColumn("sa", F.col("v") * F.col("na")).withColumn("sb", F.col("v") * F.col("nb")), "v", ["na", "nb", "sa", "sb"])
+    every = before.agg(F.sum(F.col("na") * (F.col("v") * F.col("nb_before") - F.col("sb_before")) + F.col("nb") * (F.col("v") * F.col("na_before") - F.col("sa_before"))).alias("total"))
     own = k.agg(F.count("*").alias("n"), F.sum(F.abs(F.col("a") - F.col("b"))).alias("matched"))
     return own.crossJoin(every).select("n", F.round((F.col("total") - F.col("matched")) / (F.col("n") * (F.col("n") - 1)) - F.col("matched") / F.col("n"), 4).alias("gain"))
 
@@ -570,7 +569,7 @@ def rank_stability(t):
 
 @query("with r as (select conv_id, turn, role, text, row_number() over (partition by conv_id order by turn desc, role desc, text desc) as i from conversations) select conv_id, string_agg(role || ': ' || text, chr(10) order by turn, role, text) as block from r where i <= 3 group by all")
 def transcript_block(t):
-    """The last three rows of a conversation as one text."""
+    """The last three rows of a conversation as one text."""
     rows = F.array_sort(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))))
     last = t("conversations").groupBy("conv_id").agg(rows.alias("r")).withColumn("r", F.slice("r", F.greatest(F.size("r") - 2, F.lit(1)), 3))
     return last.select("conv_id", F.array_join(F.transform("r", lambda x: F.concat(x["role"], F.lit(": "), x["text"])), "\n").alias("block"))
@@ -578,7 +577,7 @@ def transcript_block(t):
 
 @query("select source, count(*) as texts, cast(sum(n) as bigint) as chars from (select distinct source, text, length(text) as n from documents) group by all")
 def distinct_volume(t):
-    """Volume of each source with every text counted once."""
+    """Volume of each source with every text counted once."""
     d = t("documents").groupBy("source", F.sha2("text", 256).alias("f")).agg(F.max(F.length("text")).alias("n"))
     return d.groupBy("source").agg(F.count("*").alias("texts"), F.sum("n").alias("chars"))
 
@@ -587,7 +586,7 @@ def distinct_volume(t):
 def listener_speaker(t):
     """A literal listener's weights and the speaker's normalised powers of them."""
     w = t("benchmark").select("item_id", F.explode(tx.token_set(F.col("text"))).alias("tok"))
-    lit = w.withColumn("l", 1 / F.count("*").over(Window.partitionBy("tok")))
+    lit = w.join(w.groupBy("tok").agg((1 / F.count("*")).alias("l")), "tok")
     power = F.col("l") * F.col("l")
     return lit.select("item_id", "tok", r6("l").alias("literal"), r6(power / F.sum(power).over(Window.partitionBy("item_id"))).alias("speaker"))
 
