@@ -108,8 +108,15 @@ class BlockMaxIndex:
         self.term = np.concatenate([np.empty(0, np.int32), *(t.astype(np.int32) for t, _ in vectors)])
         self.weight = np.concatenate([np.empty(0), *(w for _, w in vectors)])
 
+    #: what ships; the layout is made again where the index is used
+    OWN = ("labels", "n_terms", "base", "sizes", "term", "weight")
+
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "blocks"}
+        return {k: self.__dict__[k] for k in self.OWN}
+
+    def fold(self) -> None:
+        """Forgets the layout."""
+        self.__dict__ = self.__getstate__()
 
     def lay_out(self) -> None:
         """Blocks of examples that share their most widespread term and are of like length."""
@@ -224,9 +231,11 @@ class Scorer:
         self.weight = np.log((1 + n_docs) / (1 + df)) + 1
         self.weight[: len(number)] *= np.sqrt(1 + chi2)
         vectors = [self.weigh(*c) for c in counts]
+        del counts
         self.index = BlockMaxIndex(vectors, labels, len(number))
         self.curve = 1.0, 0.0
         self.curve = self.calibrated(vectors, labels)
+        self.index.fold()
 
     def calibrated(self, vectors: list[Vector], labels: list[int]) -> tuple[float, float]:
         """The curve of the votes of the examples, each without itself and its copies."""
@@ -248,7 +257,7 @@ class Scorer:
 
     def counts(self, text: str | None) -> Vector:
         found = Counter(words(text))
-        return self.number.of(found, len(found)), np.fromiter(found.values(), np.int64, len(found))
+        return self.number.of(found, len(found)).astype(np.int32), np.fromiter(found.values(), np.int32, len(found))
 
     def weigh(self, terms: np.ndarray, counts: np.ndarray) -> Vector:
         """Terms of the examples and their weights; the norm is that of all terms."""
