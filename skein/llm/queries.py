@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import chat_format, quality, toxicity
 from .decontaminate import contamination
@@ -73,8 +74,9 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     rows = edited(docs)
     groups = exact_groups(docs, rows.select("doc_id", "fingerprint")).dropDuplicates(["doc_id", "fingerprint"])
-    same = rows.doc_id.eqNullSafe(groups.doc_id) & (rows.fingerprint == groups.fingerprint)
-    return rows.join(groups, same).select(*(rows[c] for c in rows.columns), "group_id", "copies")
+    groups = groups.toDF("group_doc_id", "group_fingerprint", "group_id", "copies")
+    same = F.col("doc_id").eqNullSafe(F.col("group_doc_id")) & (F.col("fingerprint") == F.col("group_fingerprint"))
+    return rows.join(groups, same).drop("group_doc_id", "group_fingerprint")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,3 +27,24 @@ def test_groups(docs_of):
     got = {r.doc_id: (r.group_id, r.copies) for r in exact_groups(rows).collect()}
     assert got == {5: (2, 2), 2: (2, 2), 9: (9, 2), None: (9, 2), 4: (3, 2), 3: (3, 2)}
     assert exact_groups(docs_of([])).count() == 0 and fingerprints(rows).count() == 6
+
+
+def test_query_keeps_every_row_once(spark, tmp_path):
+    import hashlib
+    import unicodedata
+
+    from skein.llm.queries import op9_document_fingerprints
+
+    texts = ["Alpha beta gamma delta", "alpha  BETA gamma delta", "", None, "Straße", "STRASSE", "unlike all others"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in op9_document_fingerprints(spark, str(tmp_path)).collect()}
+    assert len(got) == 7
+    form = lambda t: " ".join(unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", t or "").casefold()).split())
+    for i, text in enumerate(texts):
+        text, after = text or "", texts[(i + 1) % 7] or ""
+        changed = text[: len(text) - len(text) // 4] + after[: len(text) // 4]
+        same = [j for j in range(7) if form(texts[j]) == form(text)]
+        assert got[i].n_chars == len(text) and got[i].edited_sha256 == hashlib.sha256(changed.encode()).hexdigest()
+        assert (got[i].near_edited, got[i].near_next) == (float(form(text) == form(changed)), float(form(text) == form(after)))
+        assert (got[i].group_id, got[i].copies) == (min(same), len(same))
+        assert {j for j in range(7) if got[j].fingerprint == got[i].fingerprint} == set(same)
