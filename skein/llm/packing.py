@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, shuffle_parts, small, worker_state
 
-#: entries of a worker's memo of encoded pieces (about 27 bytes each) and of encoded words (about 230 each)
-PIECES, WORDS = 700_000, 60_000
+#: entries of a worker's memo of encoded pieces (about 40 bytes each) and of encoded words (about 230 each)
+PIECES, WORDS = 1_200_000, 100_000
 #: bytes of the longest piece that is remembered
 SHORT = 64
 #: characters of a text that are encoded in one go; a longer text is cut at blanks
