@@ -26,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MEMO, bounded_sample, small, worker_state
+from .common import bounded_sample, small, worker_state
 from .toxicity import in_training
 
 BITS = 18
+#: tokens a worker remembers (about 45 MB)
+MEMO = 300_000
 _RUNS = [(re.compile(p), r) for p, r in (("[A-ZÀ-ÖØ-Þ]{2,}", "AA"), ("[a-zß-öø-ÿ]+", "a"), ("[0-9]+", "0"), (r"([^\w\s])\1+", r"\1\1"))]
 
 
