@@ -14,9 +14,13 @@ texts.  The first line of a component, by (doc_id, line number), is kept.
    the distance shares at least one segment, so no link is missed.  An entry also carries the
    parities of the line's letter pairs in 32 cells; an edit changes at most four of them, so
    pairs that differ in more than 4 * ``edits`` cells are ruled out where they meet.
+   Entries of a key that more than ``CROWD`` different lines share are dealt into chunks, and
+   each pair of chunks meets in a task of its own.
 3. Candidate pairs are verified by a banded bit-parallel edit distance on the whole lines.
 4. Components of the links give each line its class.
 
+Candidates are named by 63 bits of their hash; verified links, and the classes, by all 128.
+
 Defined cases: a null text has no lines; an empty text has one empty line; rows that repeat
 doc_id and text repeat their result; a null doc_id counts as the smallest.  Only ``doc_id``
 and ``text`` are read by the join; ``dedup_lines`` passes all other columns on.
@@ -32,10 +36,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Packer, components, cut, free_name, packed_schema, slices_for, small, unpack
+from .common import Packer, components, cut, free_name, packed_schema, sized, slices_for, small, unpack
 
 #: ids of candidate lines that may be shipped to all tasks (8 bytes each); beyond it they are joined
 SHIPPED_IDS = 1_000_000
+#: different lines of one segment key that one task compares; a key of more is dealt into chunks of as many
+CROWD = 4_096
 #: lines a task remembers so as not to file a repeated line again
 SEEN = 150_000
 
@@ -166,7 +172,7 @@ def _keys(edits: int, shortest: int, parts: int):
     """(text) -> the segment index and its probes, packed by key; bit 0 of an id tells a probe."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, plans, seen = Packer(parts, ["key", "id", "cells"]), {}, set()
+        packer, plans, seen = Packer(parts, ["key", "id", "cells"]), {}, {}
         file = xxhash.xxh3_64_intdigest
 
         def plan(length: int):
@@ -179,12 +185,12 @@ def _keys(edits: int, shortest: int, parts: int):
                 for line in lines_of(text):
                     if len(line) < shortest or not _may_link(len(line), edits):
                         continue
-                    a = line_hash(line)[0]
-                    if a in seen:
+                    a, more = line_hash(line)
+                    if seen.get(a) == more:
                         continue
                     if len(seen) > SEEN:
                         seen.clear()
-                    seen.add(a)
+                    seen[a] = more
                     if len(line) not in plans:
                         if len(plans) > 5_000:
                             plans.clear()
@@ -200,15 +206,18 @@ def _keys(edits: int, shortest: int, parts: int):
     return run
 
 
-def _candidates(edits: int):
+def _candidates(edits: int, crowd: int):
     def run(table: pa.Table) -> pa.Table:
-        return _meetings(table, 4 * edits)
+        return _meetings(table, 4 * edits, crowd)
 
     return run
 
 
-def _meetings(table: pa.Table, most: int) -> pa.Table:
-    """Distinct pairs of lines of which one probes what the other has filed, alike in all but ``most`` cells."""
+def _meetings(table: pa.Table, most: int, crowd: int) -> pa.Table:
+    """Distinct pairs of lines of which one probes what the other has filed, alike in all but ``most`` cells.
+
+    Lines of a key that more than ``crowd`` share are given back with their role, key and cells instead.
+    """
     key, ident, cells = unpack(table, "key", np.uint64), unpack(table, "id", np.int64), unpack(table, "cells", np.uint32)
     order = np.argsort(key, kind="stable")
     key = key[order]
@@ -219,13 +228,17 @@ def _meetings(table: pa.Table, most: int) -> pa.Table:
     key, ident, cells = key[order], ident[order], cells[order]
     line, role = ident & ~1, 1 << (ident & 1)
     found: list[np.ndarray] = []
+    crowded = np.zeros(0, np.int64)
     if len(key):
         first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (line[1:] != line[:-1])]))
         role = np.bitwise_or.reduceat(role, first)
         key, line, cells = key[first], line[first], cells[first]
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        ends = np.repeat(np.append(starts[1:], len(key)), np.diff(np.append(starts, len(key))))
-        at, step, held = np.arange(len(key)), 1, 0
+        sizes = np.diff(np.append(starts, len(key)))
+        ends = np.repeat(starts + sizes, sizes)
+        many = np.repeat(sizes > crowd, sizes)
+        crowded = np.flatnonzero(many)
+        at, step, held = np.flatnonzero(~many), 1, 0
         while len(at := at[at + step < ends[at]]):
             to = at + step
             meet = ((role[at] | role[to]) == 3) & (np.bitwise_count(cells[at] ^ cells[to]) <= most)
@@ -235,7 +248,43 @@ def _meetings(table: pa.Table, most: int) -> pa.Table:
                 found, held = [_distinct(found)], 0
             step += 1
     pairs = _distinct(found)
-    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+    return pa.table(
+        {
+            "a": np.concatenate([pairs[:, 0], line[crowded]]),
+            "b": np.concatenate([pairs[:, 1], role[crowded]]),
+            "key": pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(key[crowded].view(np.int64))]),
+            "cells": np.concatenate([np.zeros(len(pairs), np.int64), cells[crowded].astype(np.int64)]),
+        }
+    )
+
+
+def _across(most: int):
+    """(line, role, cells, chunk) of two chunks of one key -> the pairs that meet between them; of one chunk, within it"""
+
+    def run(table: pa.Table) -> pa.Table:
+        line, role, cells, chunk = (table.column(c).to_numpy() for c in ("line", "role", "cells", "chunk"))
+        left = np.flatnonzero(chunk == chunk.min())
+        right = np.flatnonzero(chunk != chunk.min())
+        within = table.column("i")[0] == table.column("j")[0]
+        found = []
+        for n, x in enumerate(left):
+            to = left[n + 1 :] if within else right
+            to = to[((role[x] | role[to]) == 3) & (np.bitwise_count(cells[x] ^ cells[to]) <= most)]
+            found.append(np.stack([np.minimum(line[x], line[to]), np.maximum(line[x], line[to])], 1))
+        pairs = _distinct(found)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return run
+
+
+def _crowded_pairs(met: DataFrame, edits: int) -> DataFrame:
+    """(a, b) of the crowded keys: each line goes to every pair of chunks that holds its own."""
+    crowds = met.filter("key is not null").select("key", F.col("a").alias("line"), F.col("b").alias("role"), "cells")
+    chunks = cut(crowds.groupBy("key").agg(F.ceil(F.count("*") / CROWD).alias("chunks")))
+    dealt = crowds.join(sized(chunks), "key").withColumn("chunk", F.pmod(F.xxhash64("line"), "chunks"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    dealt = dealt.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "line", "role", "cells", "chunk")
+    return dealt.groupBy("key", "i", "j").applyInArrow(_across(4 * edits), "a long, b long")
 
 
 def _distinct(found: list[np.ndarray]) -> np.ndarray:
@@ -245,7 +294,7 @@ def _distinct(found: list[np.ndarray]) -> np.ndarray:
 
 
 def _texts(edits: int, shortest: int, wanted: np.ndarray | None):
-    """(text) -> (id, line) of the wanted lines, or of all that may be linked"""
+    """(text) -> (id, h, g, line) of the wanted lines, or of all that may be linked; (h, g) is the whole hash"""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
@@ -253,12 +302,15 @@ def _texts(edits: int, shortest: int, wanted: np.ndarray | None):
             for text in b.column(0).to_pylist():
                 for line in lines_of(text):
                     if len(line) >= shortest and _may_link(len(line), edits):
-                        rows[line_hash(line)[0] & ~1] = line
-            ids = np.fromiter(rows, np.int64, len(rows))
-            if wanted is not None and len(ids):
-                at = np.minimum(np.searchsorted(wanted, ids), max(0, len(wanted) - 1))
-                ids = ids[wanted[at] == ids] if len(wanted) else ids[:0]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([rows[i] for i in ids.tolist()], pa.string())], names=["id", "line"])
+                        rows[line_hash(line)] = line
+            whole = np.array(list(rows), np.int64).reshape(-1, 2)
+            keep = np.ones(len(whole), bool)
+            if wanted is not None:
+                ids = whole[:, 0] & ~1
+                keep = wanted[np.minimum(np.searchsorted(wanted, ids), len(wanted) - 1)] == ids if len(wanted) else ~keep
+            whole = whole[keep]
+            lines = pa.array([rows[h, g] for h, g in whole.tolist()], pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(whole[:, 0] & ~1), pa.array(whole[:, 0]), pa.array(whole[:, 1]), lines], names=["id", "h", "g", "line"])
 
     return run
 
@@ -266,29 +318,44 @@ def _texts(edits: int, shortest: int, wanted: np.ndarray | None):
 def _verify(edits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = [edit_distance_within(s, t, _may_link(max(len(s), len(t)), edits)) for s, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["a", "b"])
+            keep = [edit_distance_within(s, t, _may_link(max(len(s), len(t)), edits)) for s, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            yield b.select(["h", "g", "h2", "g2"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
 def line_links(docs: DataFrame, edits: int = 2, shortest: int = 10) -> DataFrame:
-    """(a, b): ids of different lines within the distance, each pair once."""
+    """(h, g, h2, g2): the 128-bit hashes of different lines within the distance, each pair once."""
     texts = docs.select("text").filter("text is not null")
     parts = slices_for(texts)
     packed = texts.mapInArrow(_keys(edits, shortest, parts), packed_schema(["key", "id", "cells"]))
-    pairs = cut(packed.groupBy("part").applyInArrow(_candidates(edits), "a long, b long").distinct())
+    met = cut(packed.groupBy("part").applyInArrow(_candidates(edits, CROWD), "a long, b long, key long, cells long"))
+    pairs = met.filter("key is null").select("a", "b")
+    if not met.filter("key is not null").isEmpty():
+        pairs = pairs.unionAll(_crowded_pairs(met, edits))
+    pairs = cut(pairs.distinct())
     ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
     few = ids.limit(SHIPPED_IDS + 1).toPandas().id.to_numpy(np.int64)
     if len(few) <= SHIPPED_IDS:
-        lines = texts.mapInArrow(_texts(edits, shortest, np.sort(few)), "id long, line string")
+        lines = texts.mapInArrow(_texts(edits, shortest, np.sort(few)), "id long, h long, g long, line string")
     else:
-        lines = texts.mapInArrow(_texts(edits, shortest, None), "id long, line string").join(ids, "id", "left_semi")
-    lines = lines.dropDuplicates(["id"])
-    left = lines.select(F.col("id").alias("a"), F.col("line").alias("s"))
-    right = lines.select(F.col("id").alias("b"), F.col("line").alias("t"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t").mapInArrow(_verify(edits), "a long, b long")
+        lines = texts.mapInArrow(_texts(edits, shortest, None), "id long, h long, g long, line string").join(ids, "id", "left_semi")
+    lines = lines.dropDuplicates(["id", "h", "g"])
+    left = lines.select(F.col("id").alias("a"), "h", "g", F.col("line").alias("s"))
+    right = lines.select(F.col("id").alias("b"), F.col("h").alias("h2"), F.col("g").alias("g2"), F.col("line").alias("t"))
+    both = pairs.join(left, "a").join(right, "b").select("s", "t", "h", "g", "h2", "g2")
+    return both.mapInArrow(_verify(edits), "h long, g long, h2 long, g2 long")
+
+
+def _linked(links: DataFrame) -> DataFrame:
+    """(a, b, component) of every line that has a link, by its whole hash: lines are numbered, so that none shares a number."""
+    links = cut(links)
+    ends = links.select(F.col("h").alias("a"), F.col("g").alias("b")).unionAll(links.select(F.col("h2").alias("a"), F.col("g2").alias("b"))).distinct()
+    numbers = cut(ends.withColumn("node", F.monotonically_increasing_id()))
+    one = numbers.toDF("h", "g", "one")
+    two = numbers.toDF("h2", "g2", "two")
+    edges = links.join(one, ["h", "g"]).join(two, ["h2", "g2"]).select(F.col("one").alias("a"), F.col("two").alias("b"))
+    return numbers.join(components(edges), "node").select("a", "b", "component")
 
 
 def _row(docs: DataFrame) -> F.Column:
@@ -306,8 +373,7 @@ def _classes(docs: DataFrame, edits: int, shortest: int, equal_from: int) -> Dat
     lines = cut(rows.mapInArrow(_hashes, "doc_id long, row long, line_no int, n_chars int, a long, b long"))
     place = F.struct("doc_id", "line_no", "row")
     own = lines.filter(F.col("n_chars") >= max(1, equal_from)).groupBy("a", "b").agg(F.min(place).alias("first"))
-    comp = components(line_links(docs, edits, shortest))
-    known = own.join(comp, F.col("a").bitwiseAND(F.lit(~1)) == F.col("node"), "left")
+    known = own.join(_linked(line_links(docs, edits, shortest)), ["a", "b"], "left")
     heads = known.filter("component is not null").groupBy("component").agg(F.min("first").alias("head"))
     classes = known.join(heads, "component", "left").select("a", "b", F.coalesce("head", "first").alias("head"))
     here = F.struct("doc_id", "line_no", "row")

@@ -85,3 +85,25 @@ def test_query_classes_equal_short_lines(spark, tmp_path):
     got = {(r.doc_id, r.line_no): (r.class_doc_id, r.class_line_no, r.duplicate) for r in op1_line_dedup(spark, str(tmp_path)).collect()}
     own = [(1, 0), (1, 1), (1, 2), (2, 1), (2, 2)]
     assert got == {x: (*x, False) for x in own} | {(2, 0): (1, 0, True)}
+
+
+def templated(rng, n):
+    """Lines of one template, so that very many share a segment, some of them near copies."""
+    return [(i, f"posted on the {rng.randint(0, 40):02d} by the user {rng.choice('abcdef') * rng.randint(1, 9)}\n{rng.randint(0, 9)}") for i in range(n)]
+
+
+def test_crowded_segments_and_lines_that_are_not_shipped(docs_of, monkeypatch):
+    from skein.llm import line_dedup
+
+    rows = templated(random.Random(9), 120)
+    monkeypatch.setattr(line_dedup, "CROWD", 7)
+    monkeypatch.setattr(line_dedup, "SHIPPED_IDS", 3)
+    got = {(r.doc_id, r.line_no): (r.class_doc_id, r.class_line_no) for r in line_classes(docs_of(rows)).collect()}
+    assert got == brute(rows)
+
+
+def test_very_long_lines_null_ids_and_clashing_columns(spark):
+    long = "word " * 20_000
+    docs = spark.createDataFrame([(1, long + "one", 1, 2), (2, long + "two", 3, 4), (None, long + "ore", 5, 6), (3, None, 7, 8)], "doc_id long, text string, key int, line int")
+    got = {tuple(r) for r in dedup_lines(docs).collect()}
+    assert got == {(None, long + "ore", 5, 6), (2, long + "two", 3, 4), (3, None, 7, 8)}
