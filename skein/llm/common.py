@@ -60,6 +60,15 @@ def sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+#: narrow rows that are worth a task of their own
+ROWS_A_TASK = 50_000
+
+
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` of about ``rows`` narrow rows in no more tasks than they are worth: without a shuffle, and untouched where they are many."""
+    return df.coalesce(max(1, -(-rows // ROWS_A_TASK)))
+
+
 def free_name(stem: str, columns: list[str]) -> str:
     """``stem`` with as many underscores behind it as tell it from all ``columns``."""
     taken = {c.lower() for c in columns}
@@ -185,8 +194,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps; each step is a grouped minimum and an
     equi-join, so a node of many links is pre-aggregated on the map side and its join
-    partition can be split.  Every round is checkpointed and nothing but two numbers
-    (count and checksum of the links) comes to the driver.
+    partition can be split.  Every round is checkpointed, in as many tasks as its
+    links are worth, and nothing but two numbers (count and checksum of the links) comes to the driver.
     """
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
     last = None
@@ -195,12 +204,14 @@ def components(edges: DataFrame) -> DataFrame:
         if (row.n, row.s) == last or row.n == 0:
             break
         last = (row.n, row.s)
-        both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
-        e = cut(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct())
+        ends = F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = few(e, row.n).select(F.inline(ends))
+        least = few(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), row.n)
+        large = few(both.filter("v > u").join(least, "u"), row.n).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
+        large = few(large.distinct(), row.n)
+        least = few(large.groupBy("u").agg(F.min("v").alias("m")), row.n)
+        small = few(large.join(least, "u"), row.n).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
+        e = cut(few(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), row.n))
     stars = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
 
