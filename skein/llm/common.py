@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,6 +85,18 @@ def small(batches: Iterator[pa.RecordBatch], rows: int = SMALL) -> Iterator[pa.R
             yield b.slice(at, rows)
 
 
+def by_volume(batches: Iterator[pa.RecordBatch], column: int, volume: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of at most ``volume`` bytes of the column and ``SMALL`` rows, or one row where it is larger."""
+    for b in small(batches):
+        sizes = b.column(column).cast(pa.large_binary() if pa.types.is_large_string(b.column(column).type) else pa.binary())
+        ends = np.cumsum(np.nan_to_num(np.array(pc.binary_length(sizes).fill_null(0))))
+        at = 0
+        while at < b.num_rows:
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + volume, side="right")))
+            yield b.slice(at, stop - at)
+            at = stop
+
+
 #: what a Python worker keeps between tasks: the state of one operator at a time
 _STATE: dict[str, object] = {}
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, quality, toxicity
+from . import byte_bpe, chat_format, quality, toxicity
 from .decontaminate import contamination
 from .fingerprint import edited, exact_groups
 from .html_wrappers import main_texts
@@ -84,6 +84,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), width=10)
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of every document and of the bytes that they decode to."""
+    import public_tokenizers
+
+    vocabulary = byte_bpe.Vocabulary.of_ranks(tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return byte_bpe.digests(_table(spark, sf_dir, "documents"), vocabulary)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -97,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_toxicity,
         op9_document_fingerprints,
         op10_decontamination,
+        op12_byte_bpe,
     )
 }
 
