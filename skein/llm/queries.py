@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, quality, toxicity
+from . import byte_bpe, chat_format, quality, token_alignment, toxicity
 from .decontaminate import contamination
 from .fingerprint import edited, exact_groups
 from .html_wrappers import main_texts
@@ -84,6 +84,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), width=10)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of every document between a byte-level BPE and a sentence-piece model."""
+    import public_tokenizers
+
+    a = byte_bpe.Vocabulary.of_json(tokenizer_path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return token_alignment.alignments(_table(spark, sf_dir, "documents"), token_alignment.Pair.of_files(a, tokenizer_path("piece_bpe_32k.model")))
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids of every document and of the bytes that they decode to."""
     import public_tokenizers
@@ -105,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_toxicity,
         op9_document_fingerprints,
         op10_decontamination,
+        op11_token_alignment,
         op12_byte_bpe,
     )
 }
