@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, quality, token_alignment, toxicity
+from . import byte_bpe, chat_format, quality, spelling, token_alignment, toxicity
 from .decontaminate import contamination
 from .fingerprint import edited, exact_groups
 from .html_wrappers import main_texts
@@ -100,6 +100,11 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(_table(spark, sf_dir, "documents"), vocabulary)
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form, root and near words of every word of the documents, with planted typing slips."""
+    return spelling.variants(_table(spark, sf_dir, "documents"), shortest=6, least=5, ratio=5, slip=spelling.crc_slips(199))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -115,8 +120,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_decontamination,
         op11_token_alignment,
         op12_byte_bpe,
+        op13_spelling_variants,
     )
 }
 
 #: DuckDB SQL where SQL can state the result and run on whole tables
-ORACLE: dict[str, str] = {"op4_chat_formatting": chat_format.SQL}
+ORACLE: dict[str, str] = {"op4_chat_formatting": chat_format.SQL, "op13_spelling_variants": spelling.SQL}
