@@ -8,7 +8,7 @@ white space), and every piece is encoded by itself:
    a comparison of the bytes decides.  All different pieces of a slice of texts are looked up at once.
 2. A piece that is no token is merged from its bytes: parts are linked to their neighbours, and
    a heap yields the pair of lowest rank, the leftmost of equals.  Merged pieces are remembered by
-   the worker, at most ``MEMO_PIECES`` of them (about 230 bytes each).
+   the worker, at most twice ``MEMO_PIECES`` of them (about 230 bytes each).
 
 The driver builds the hash once from the vocabulary; tasks get it with their closure (about
 1 MB for 50,000 tokens).
@@ -27,6 +27,7 @@ import heapq
 import json
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,10 +42,10 @@ from .common import by_volume, mix, worker_state
 LOAD = 3
 #: displacements tried at once
 TRIES = 512
-#: merged pieces that a worker remembers, and the longest of them in bytes
-MEMO_PIECES, MEMO_BYTES = 400_000, 64
+#: merged pieces of each of the two parts of a worker's memory, and the longest of them in bytes
+MEMO_PIECES, MEMO_BYTES = 300_000, 64
 #: characters of a text that are encoded at once, and of a slice of texts
-LONG = 500_000
+LONG = 1_000_000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _CUT = regex.compile(r"(?<=\S)(?= \S)")
 
@@ -156,52 +157,54 @@ class Encoder:
         self.tokens, self.hash = vocabulary.tokens, vocabulary.hash
         self.ranks = {t: r for r, t in enumerate(self.tokens)}
         self.pieces = regex.compile(vocabulary.pattern)
-        self.first = [self.ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]
+        find = self.ranks.get
+        self.bytes = [self.ranks[bytes([b])] for b in range(256)]
+        self.first = [find(bytes((a, b)), -1) for a in range(256) for b in range(256)]
+        halves = ((find(t[:k]), find(t[k:]), r) for t, r in self.ranks.items() for k in range(1, len(t)))
+        self.pairs = {a << 20 | b: r for a, b, r in halves if a is not None and b is not None}
+        self.ends = [list(range(1, n + 1)) for n in range(MEMO_BYTES + 1)]
+        self.befores = [list(range(-1, n - 1)) for n in range(MEMO_BYTES + 1)]
         self.merged: dict[bytes, list[int]] = {}
+        self.earlier: dict[bytes, list[int]] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of a piece from its bytes: a heap of ranked pairs over linked parts."""
         n = len(piece)
-        if n < 2:
-            return [self.ranks[piece]]
-        find = self.ranks.get
-        first = self.first
+        first, find = self.first, self.pairs.get
         rank = [first[a << 8 | b] for a, b in zip(piece, piece[1:])]
         rank.append(-1)
         shift = n.bit_length()
         mask = (1 << shift) - 1
-        heap = [(r << shift) | i for i, r in enumerate(rank) if r >= 0]
-        end, before = range(1, n + 1), range(-1, n - 1)
-        if n < 4096:
-            end, before = list(end), list(before)
+        heap = [r << shift | i for i, r in enumerate(rank) if r >= 0]
+        ids = [self.bytes[b] for b in piece]
+        if n <= MEMO_BYTES:
+            end, before = self.ends[n][:], self.befores[n][:]
         else:  # numbers side by side instead of objects
-            end, before, rank = array("q", end), array("q", before), array("q", rank)
+            ids, rank = array("q", ids), array("q", rank)
+            end, before = array("q", range(1, n + 1)), array("q", range(-1, n - 1))
         heapq.heapify(heap)
         pop, push = heapq.heappop, heapq.heappush
         while heap:
             entry = pop(heap)
-            i = entry & mask
-            if rank[i] != entry >> shift:  # the pair has changed since
+            i, merged = entry & mask, entry >> shift
+            if rank[i] != merged:  # the pair has changed since
                 continue
             j = end[i]
             k = end[i] = end[j]
-            rank[j] = rank[i] = -1
+            ids[i] = merged
+            ids[j] = rank[j] = rank[i] = -1
             if k < n:
                 before[k] = i
-                r = find(piece[i : end[k]], -1)
+                r = find(merged << 20 | ids[k], -1)
                 if r >= 0:
                     rank[i] = r
-                    push(heap, (r << shift) | i)
+                    push(heap, r << shift | i)
             p = before[i]
             if p >= 0:
-                rank[p] = r = find(piece[p:k], -1)
+                rank[p] = r = find(ids[p] << 20 | merged, -1)
                 if r >= 0:
-                    push(heap, (r << shift) | p)
-        ids, i = [], 0
-        while i < n:
-            ids.append(self.ranks[piece[i : end[i]]])
-            i = end[i]
-        return ids
+                    push(heap, r << shift | p)
+        return [i for i in ids if i >= 0]
 
     def _learn(self, pieces: list[bytes]) -> list[list[int]]:
         """Ids of different pieces: those that are tokens by the perfect hash, others merged or remembered."""
@@ -213,31 +216,29 @@ class Encoder:
                 continue
             ids = known.get(piece)
             if ids is None:
-                ids = self.merge(piece)
+                ids = self.earlier.get(piece) or self.merge(piece)
                 if len(piece) <= MEMO_BYTES:
-                    if len(known) >= MEMO_PIECES:
-                        known.clear()
+                    if len(known) >= MEMO_PIECES:  # what is not met again while as many others come is forgotten
+                        self.earlier, known = known, {}
+                        self.merged = known
                     known[piece] = ids
             out.append(ids)
         return out
 
     def _stretches(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts side by side, and how many each has."""
-        number: dict[str, int] = {}
-        codes, pieces_of = [], []
-        for text in texts:
-            own = [number.setdefault(p, len(number)) for p in self.pieces.findall(text)]
-            pieces_of.append(len(own))
-            codes.append(np.array(own, np.int32))
-        code = np.concatenate([np.empty(0, np.int32), *codes])
+        found = [self.pieces.findall(t) for t in texts]
+        number = {p: i for i, p in enumerate(dict.fromkeys(chain.from_iterable(found)))}
+        pieces_of = np.fromiter(map(len, found), np.int64, len(found))
+        code = np.fromiter(map(number.__getitem__, chain.from_iterable(found)), np.int64, int(pieces_of.sum()))
         ids = self._learn([p.encode("utf-8", "surrogatepass") for p in number])
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for own in ids for i in own), np.uint32, int(sizes.sum()))
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
         begins = np.cumsum(sizes) - sizes
         size = sizes[code]
         ends = np.cumsum(size)
         place = np.arange(int(size.sum())) + np.repeat(begins[code] - ends + size, size)
-        through = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(np.array(pieces_of, np.int64))])]
+        through = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(pieces_of)])]
         return flat[place], np.diff(through)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
@@ -282,7 +283,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocabulary)
-        for b in by_volume(batches, 1, 4 * LONG):
+        for b in by_volume(batches, 1, 4 * LONG, 2048):
             ids = own.encode(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([i.astype(np.int32) for i in ids], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
@@ -307,7 +308,7 @@ def digests(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocabulary)
         numerals = [str(i) for i in range(len(own.tokens))]
-        for b in by_volume(batches, 1, 4 * LONG):
+        for b in by_volume(batches, 1, 4 * LONG, 2048):
             counts, shas, decoded = [], [], []
             for ids in own.encode(b.column(1).to_pylist()):
                 counts.append(len(ids))

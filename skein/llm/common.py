@@ -85,9 +85,9 @@ def small(batches: Iterator[pa.RecordBatch], rows: int = SMALL) -> Iterator[pa.R
             yield b.slice(at, rows)
 
 
-def by_volume(batches: Iterator[pa.RecordBatch], column: int, volume: int) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of at most ``volume`` bytes of the column and ``SMALL`` rows, or one row where it is larger."""
-    for b in small(batches):
+def by_volume(batches: Iterator[pa.RecordBatch], column: int, volume: int, rows: int = SMALL) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of at most ``volume`` bytes of the column and ``rows`` rows, or one row where it is larger."""
+    for b in small(batches, rows):
         sizes = b.column(column).cast(pa.large_binary() if pa.types.is_large_string(b.column(column).type) else pa.binary())
         ends = np.cumsum(np.nan_to_num(np.array(pc.binary_length(sizes).fill_null(0))))
         at = 0
