@@ -7,6 +7,7 @@ import os
 import duckdb
 import pytest
 
+import skein.grammar_queries
 import skein.measurement_queries
 import skein.store_queries  # noqa: F401
 from skein.queries import ORACLE, QUERIES
