@@ -110,3 +110,19 @@ def crossings(df: DataFrame, key: str, order: list[str], value: str, target: flo
     """Rows at which the value reaches the target that the row before had not."""
     before = F.lag(value).over(Window.partitionBy(key).orderBy(*order))
     return df.withColumn("_b", before).filter((F.col(value) >= target) & (F.col("_b") < target)).drop("_b")
+
+
+def numbered(df: DataFrame, order: str, ties: list[str] = [], name: str = "seq", rows: int = 1_000_000) -> DataFrame:
+    """``df`` with the number of each row, from 1, by a numeric column and then by ``ties``.
+
+    Rows are dealt to ranges of about ``rows`` rows (bounds from approximate quantiles) and numbered
+    within them; the counts of earlier ranges, one row for each, are joined.  Null orders come first.
+    """
+    ranges = max(1, -(-df.count() // rows))
+    bounds = sorted({b for b in df.approxQuantile(order, [i / ranges for i in range(1, ranges)], 0.01)}) if ranges > 1 else []
+    dealt = df.withColumn("_range", F.expr(f"aggregate(array({', '.join(f'{b!r}D' for b in bounds)}), 0, (n, b) -> n + if({order} > b, 1, 0))") if bounds else F.lit(0))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy("_range").count().select("_range", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(F.col(order).asc_nulls_first(), *ties))
+    # one row for each range of a million rows
+    return dealt.withColumn(name, within).join(F.broadcast(offsets), "_range").withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_before")

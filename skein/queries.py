@@ -623,11 +623,46 @@ def exact_limiter(t):
     return limiter.admit(e, 3, 86400.0)
 
 
-@query()
+def utterances(t) -> DataFrame:
+    """Documents as rows of a repetition log: in the bucket of their first word, by doc_id on one clock, with their different words."""
+    words = tx.token_set("text")
+    first = F.regexp_extract(F.lower(F.coalesce("text", F.lit(""))), "[a-z]+", 0)
+    rows = t("documents").select(F.col("doc_id").alias("id"), first.alias("bucket"), words.alias("items"))
+    return sequences.numbered(rows, "id", ["bucket", "items"])
+
+
+_DECAYED = "m.weight * pow(0.5, ({0} - m.last) / 64.0)"
+#: the log as a fold: each step takes the next row of every bucket
+LOG_SQL = f"""u as (select doc_id as id, regexp_extract(lower(coalesce(text, '')), '[a-z]+') as bucket, row_number() over (order by doc_id) as seq, list_distinct({TOK.format('text')}) as items from documents),
+ o as (select *, row_number() over (partition by bucket order by seq) as i from u),
+ f as (
+  select null::bigint as id, bucket, 0::bigint as seq, 0::bigint as i, null::double as nearest, null::double as weight, 0.0::double as cost, false as repeated, 0 as hits, []::struct(weight double, last bigint, hits int, items varchar[])[] as log from (select distinct bucket from o)
+  union all
+  select id, bucket, seq, i, best.d, best.w, case when best is null then 0.0 else greatest(0.0, least(1.0, best.w * (1 - best.d))) end, again is not null, coalesce(again.hits, 0) + 1,
+   case when again is not null then list_transform(log, lambda m: case when m.last = again.last then struct_pack(weight := {_DECAYED.format('seq')} + 1, last := seq, hits := m.hits + 1, items := m.items) else m end)
+   when len(log) < 8 then log || [struct_pack(weight := 1.0::double, last := seq, hits := 1, items := items)]
+   else list_transform(list_sort(list_transform(log || [struct_pack(weight := 1.0::double, last := seq, hits := 1, items := items)], lambda m: struct_pack(w := {_DECAYED.format('seq')}, l := m.last, m := m)))[2:], lambda x: x.m) end
+  from (select *, list_filter(live, lambda x: x.d = list_min(list_transform(live, lambda y: y.d)))[1] as best, list_filter(log, lambda m: len(m.items) = len(items) and len(list_intersect(m.items, items)) = len(items))[1] as again
+   from (select o.id, o.bucket, o.seq, o.i, o.items, f.log, list_filter(list_transform(f.log, lambda m: struct_pack(w := {_DECAYED.format('(o.seq - 1)')},
+     d := case when len(m.items) + len(o.items) = 0 then 0.0::double else 1 - len(list_intersect(m.items, o.items))::double / len(list_distinct(m.items || o.items)) end)), lambda x: x.w >= 0.02) as live
+    from f join o on o.bucket = f.bucket and o.i = f.i + 1)))"""
+
+
+@query(f"with recursive {LOG_SQL} select id, bucket, seq, round(nearest, 6) as nearest, round(weight, 6) as weight, round(cost, 6) as cost, repeated, hits::int as hits, len(log)::int as medoids from f where i > 0")
 def repetition_log(t):
-    """Novelty of the whole text of each document within its source."""
-    d = t("documents").select(F.col("doc_id").alias("id"), F.col("source").alias("bucket"), F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("long").alias("seq"), tx.token_set("text").alias("items"))
-    return repetition.replay(d)
+    """Novelty of each document against the log of its bucket."""
+    return repetition.replay(utterances(t)).withColumns({c: r6(c) for c in ("nearest", "weight", "cost")})
+
+
+@query(f"""with recursive {LOG_SQL}, n as (select max(seq) as now from u), e as (select bucket, unnest(log) as m from f where (bucket, i) in (select bucket, max(i) from f group by bucket) and len(log) > 0)
+ select bucket, count(*) as medoids, count(*) filter ({_DECAYED.format('now')} >= 0.02) as live, sum(m.hits)::bigint as hits, round(sum({_DECAYED.format('now')}), 6) as weight from e, n group by bucket""")
+def repetition_medoids(t):
+    """The log after the last document: its medoids, those a sweep would keep, and their weight."""
+    rows = utterances(t)
+    now = rows.agg(F.max("seq").alias("now"))
+    log = repetition.medoids(rows).crossJoin(F.broadcast(now))  # one row
+    w = repetition.decayed_weight(F.col("now"))
+    return log.groupBy("bucket").agg(F.count("*").alias("medoids"), F.count_if(w >= 0.02).alias("live"), F.sum("hits").alias("hits"), r6(F.sum(w)).alias("weight"))
 
 
 @query()

@@ -13,7 +13,7 @@ from skein.operators import logs, measures, overlap, sequences
 from skein.plans import chains, gates
 from skein.queries import LEXICON
 from skein.sources import stores
-from skein.streaming import limiter, repetition
+from skein.streaming import limiter
 
 
 def one(spark, column, **values):
@@ -152,15 +152,6 @@ def test_limiter_replay_and_stream(spark, tmp_path):
     assert {r.id: r.admitted for r in stream(spark, df, tmp_path, "limited", lambda s: limiter.admit_stream(s, 4, 20.0)).collect()} == want
 
 
-def test_repetition_log_replay_equals_stream(spark, tmp_path):
-    rng = random.Random(3)
-    rows = [(i, "b" + str(i % 2), i, rng.sample("abcdefgh", 3)) for i in range(80)]
-    df = spark.createDataFrame(rows, "id long, bucket string, seq long, items array<string>").coalesce(1)
-    got = {r.id: (r.cost, r.repeated, r.medoids) for r in repetition.replay(df).collect()}
-    assert got == {r.id: (r.cost, r.repeated, r.medoids) for r in stream(spark, df, tmp_path, "novelty", repetition.score_stream).collect()}
-    assert max(m for _, _, m in got.values()) <= 8 and got[0][0] == 0.0 and any(r for _, r, _ in got.values())
-
-
 def test_logs(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")], "k string, at int, v string")
     assert {(r.k, r.v) for r in logs.latest(df, "k", "at").collect()} == {("a", "y"), ("b", "z")}
