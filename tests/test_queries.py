@@ -7,9 +7,11 @@ import os
 import duckdb
 import pytest
 
+import skein.drift_queries
 import skein.grammar_queries
 import skein.measurement_queries
-import skein.store_queries  # noqa: F401
+import skein.store_queries
+import skein.walk_queries  # noqa: F401
 from skein.queries import ORACLE, QUERIES
 
 
