@@ -7,6 +7,7 @@ import os
 import duckdb
 import pytest
 
+import skein.budget_queries
 import skein.drift_queries
 import skein.grammar_queries
 import skein.measurement_queries
