@@ -39,13 +39,13 @@ def transience(t):
     return inference.transience(turn_sets(t), "conv_id", TURN, "roots", LAGS, REPS)
 
 
-SQUARES = "m0 as (select prior, following, coalesce(n / nullif(row_n, 0), 0) as p from s), " + ", ".join(f"m{i + 1} as (select a.prior, b.following, sum(a.p * b.p) as p from m{i} a join m{i} b on a.following = b.prior group by all)" for i in range(7))
+SQUARES = "m as (select prior, following, coalesce(n / nullif(row_n, 0), 0) as p from s), m0 as (select prior, following, (p + (prior = following)::int) / 2 as p from m), " + ", ".join(f"m{i + 1} as (select a.prior, b.following, sum(a.p * b.p) as p from m{i} a join m{i} b on a.following = b.prior group by all)" for i in range(12))
 
 
-@query(f"""with {GRID}, {SQUARES}, st as (select following as kind, avg(p) as mass from m7 group by all), tv as (select m0.prior as kind, 0.5 * sum(abs(m0.p - st.mass)) as tv from m0 join st on st.kind = m0.following group by all)
+@query(f"""with {GRID}, {SQUARES}, st as (select following as kind, avg(p) as mass from m12 group by all), tv as (select m.prior as kind, 0.5 * sum(abs(m.p - st.mass)) as tv from m join st on st.kind = m.following group by all)
  select kind, round(mass, 6) as stationary, round(tv, 6) as distance, round((select sum(mass * tv) from st join tv using (kind)), 6) as separation from st join tv using (kind)""")
 def stationary_map(t):
-    """Stationary masses of the transition map (its 128th power) and its separation from independence."""
+    """Stationary masses of the transition map, periodic or not, and its separation from independence."""
     return inference.stationary(sequences.transition_grid(t("events"), "user_id", AT, "event_type")).select("kind", r6("mass").alias("stationary"), r6("tv").alias("distance"), r6("separation").alias("separation"))
 
 

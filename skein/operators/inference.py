@@ -69,10 +69,19 @@ def _matrix(grid: DataFrame, value: str) -> tuple[list, np.ndarray]:
     return kinds, out
 
 
-def stationary(grid: DataFrame, squarings: int = 7) -> DataFrame:
-    """(kind, mass, tv, separation) of a transition grid: the map squared often enough to forget where it began."""
+def stationary(grid: DataFrame, exact: float = 1e-12) -> DataFrame:
+    """(kind, mass, tv, separation) of a transition grid.
+
+    The masses are those of the lazy map, which stays where it is half of the time and so has the same
+    masses but no periods: it is squared until a squaring changes nothing by more than ``exact``.
+    """
     kinds, p = _matrix(grid, "share")
-    mass = np.linalg.matrix_power(p, 2**squarings).mean(0) if kinds else np.zeros(0)
+    lazy = (p + np.eye(len(kinds))) / 2
+    for _ in range(64):
+        before, lazy = lazy, lazy @ lazy
+        if np.abs(lazy - before).max(initial=0.0) <= exact:
+            break
+    mass = lazy.mean(0) if kinds else np.zeros(0)
     tv = 0.5 * np.abs(p - mass).sum(1)
     rows = [(k, float(m), float(d), float(mass @ tv)) for k, m, d in zip(kinds, mass, tv)]
     return grid.sparkSession.createDataFrame(rows, f"kind {dict(grid.dtypes)['prior']}, mass double, tv double, separation double")
@@ -120,6 +129,23 @@ def fidelity(map_: DataFrame, observed: DataFrame, trials: int = 400, seed: int
     return out.select("prior", "n", "d_map", "d_independence", "band_map", "band_independence", verdict.alias("verdict"))
 
 
+def shuffled_p(a: int, an: int, b: int, bn: int) -> float:
+    """The share of all shuffles of a + b hits over two groups of an and bn whose rates differ as much as those of a and b.
+
+    Weights of the counts around the likeliest one are chained products of neighbouring ratios; only
+    counts within forty deviations of it, beyond which no weight is left in doubles, are formed.
+    """
+    hits = a + b
+    low, high = max(0, hits - bn), min(an, hits)
+    mode = min(high, max(low, (an + 1) * (hits + 1) // (an + bn + 2)))
+    reach = 50 + int(40 * math.sqrt(max(1.0, an * bn * hits * (an + bn - hits) / max(1, (an + bn) ** 2 * (an + bn - 1)))))
+    k = np.arange(max(low, mode - reach), min(high, mode + reach) + 1, dtype=np.float64)
+    steps = np.log((an - k[:-1]) * (hits - k[:-1])) - np.log((k[:-1] + 1) * (bn - hits + k[:-1] + 1))
+    logs = np.concatenate([[0.0], np.cumsum(steps)])
+    weights = np.exp(logs - logs.max())
+    return float(weights[np.abs(k / an - (hits - k) / bn) >= abs(a / an - b / bn) - 1e-12].sum() / weights.sum())
+
+
 def contrast(rows: DataFrame) -> DataFrame:
     """Rates of ``hit`` by ``pivot`` and the two-sided p of all shuffles of the labels, which is hypergeometric.
 
@@ -128,16 +154,13 @@ def contrast(rows: DataFrame) -> DataFrame:
     c = rows.agg(*(F.sum(F.when(F.col("pivot") == k, F.col("hit"))).alias(f"{n}_hit") for n, k in (("pivot", True), ("other", False))), F.count_if("pivot").alias("pivot_n"), F.count_if(~F.col("pivot")).alias("other_n"))
 
     def p_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        choose = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
         for frame in frames:
             out = []
             for a, b, an, bn in frame[["pivot_hit", "other_hit", "pivot_n", "other_n"]].itertuples(index=False):
                 if not an or not bn:
                     out.append((a, an, b, bn, None, None, None))
                     continue
-                whole, seen = choose(an + bn, a + b), abs(a / an - b / bn) - 1e-12
-                p = sum(math.exp(choose(an, k) + choose(bn, a + b - k) - whole) for k in range(max(0, int(a + b - bn)), int(min(an, a + b)) + 1) if abs(k / an - (a + b - k) / bn) >= seen)
-                out.append((a, an, b, bn, round(a / an, 6), round(b / bn, 6), round(p, 6)))
+                out.append((a, an, b, bn, round(a / an, 6), round(b / bn, 6), round(shuffled_p(int(a), int(an), int(b), int(bn)), 6)))
             yield pd.DataFrame(out, columns=["pivot_hit", "pivot_n", "other_hit", "other_n", "pivot_rate", "other_rate", "p"])
 
     return c.mapInPandas(p_of, "pivot_hit long, pivot_n long, other_hit long, other_n long, pivot_rate double, other_rate double, p double")

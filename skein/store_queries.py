@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import text as tx
-from skein.functions.grammar import scene_distances
+from skein.functions.grammar import residue, scene_distances
 from skein.operators import sequences
 from skein.plans import verdicts
 from skein.queries import AT, LEXICON, PAIRS, SETS, TOK, TURN, _surfaces, query, r6, turn_sets
@@ -78,10 +78,10 @@ def ban_states(t):
     return last.join(n, "reader").select("reader", "state", "untrusted", (F.col("state").isin("permanent", "until") & (F.col("untrusted") == 0)).alias("banned"))
 
 
-@query("select c as conv_id, count(conv_id) > 0 as known, max(turn) as last_turn, count(conv_id) as messages, coalesce(max(turn) + 1, 0) as following from (select unnest(range(0, 200)) as c) left join conversations on conv_id = c group by all")
+@query("select c as conv_id, count(conv_id) > 0 as known, max(turn) as last_turn, count(conv_id) as messages, coalesce(max(turn) + 1, 0) as following from (select distinct user_id as c from events) left join conversations on conv_id = c group by all")
 def conversation_heads(t):
-    """Of asked conversations, whether they exist, their last turn and the next one; unknown ones begin at 0."""
-    asked = t("conversations").sparkSession.range(200).withColumnRenamed("id", "c")
+    """Of the conversations that the events' users ask for, whether they exist, their last turn and the next one; unknown ones begin at 0."""
+    asked = t("events").select(F.col("user_id").alias("c")).distinct()
     heads = t("conversations").groupBy("conv_id").agg(F.max("turn").alias("last_turn"), F.count("*").alias("messages"))
     return asked.join(heads, F.col("c") == F.col("conv_id"), "left").select(F.col("c").alias("conv_id"), F.col("messages").isNotNull().alias("known"), "last_turn", F.coalesce("messages", F.lit(0)).alias("messages"), F.coalesce(F.col("last_turn") + 1, F.lit(0)).alias("following"))
 
@@ -162,15 +162,16 @@ def class_boundaries(t):
     return e.groupBy(F.least("expected", "actual").alias("a"), F.greatest("expected", "actual").alias("b")).agg(F.count("*").alias("n"))
 
 
-@query(f"""with r as (select event_id, [event_id % 5, event_id % 3, event_id % 2] as a, case when event_id % 7 > 0 then [event_id % 4, event_id % 6, 1] end as b from events)
- select event_id, case when b is null then null else abs(a[1] - b[1]) + abs(a[2] - b[2]) + abs(a[3] - b[3]) end as distance, round(least(1.0, (abs(a[1] - b[1]) + abs(a[2] - b[2]) + abs(a[3] - b[3])) / 12.0), 6) as normalised from r where b is not null""")
+@query("""with r as (select event_id, case when event_type <> 'view' then [floor(value)::bigint % 5, length(props) % 3, user_id % 2] end as a, case when event_type <> 'view' then [floor(value)::bigint % 4, length(event_type) % 6, 1] end as b from events)
+ select event_id, case when a is null then 0 else abs(a[1] - b[1]) + abs(a[2] - b[2]) + abs(a[3] - b[3]) end as distance, round(case when a is null then 0 else least(1.0, (abs(a[1] - b[1]) + abs(a[2] - b[2]) + abs(a[3] - b[3])) / 12.0) end, 6) as normalised from r""")
 def residue_distance(t):
-    """L1 distance of residues on a lattice of span 4, and its share of the largest; residues of one side only or of other sizes are refused."""
-    e = F.col("event_id")
-    r = t("events").select("event_id", F.array(e % 5, e % 3, e % 2).alias("a"), F.when(e % 7 > 0, F.array(e % 4, e % 6, F.lit(1).cast("long"))).alias("b")).filter("b is not null")
-    refuse = F.raise_error(F.lit("residues of different sizes")).cast("long")
-    d = F.when(F.size("a") != F.size("b"), refuse).otherwise(F.aggregate(F.zip_with("a", "b", lambda x, y: F.abs(x - y)), F.lit(0).cast("long"), lambda s, x: s + x))
-    return r.select("event_id", d.alias("distance"), r6(F.least(F.lit(1.0), d / (4 * F.size("a")))).alias("normalised"))
+    """L1 distance of residues on a lattice of span 4, and its share of the largest; two unknown residues are equal, one unknown or other sizes are refused."""
+    known = F.col("event_type") != "view"
+    whole = F.floor("value").cast("long")
+    a, b = F.array(whole % 5, F.length("props") % 3, F.col("user_id") % 2), F.array(whole % 4, F.length("event_type") % 6, F.lit(1).cast("long"))
+    r = t("events").select("event_id", F.when(known, a).alias("a"), F.when(known, b).alias("b"))
+    d = residue(F.col("a"), F.col("b"))
+    return r.select("event_id", d.alias("distance"), r6(F.least(F.lit(1.0), F.coalesce(d / (4 * F.size("a")), F.lit(0.0)))).alias("normalised"))
 
 
 @query("with k as (select p_brand || '|' || split_part(p_type, ' ', 1) as sig, count(*) as n, min(p_partkey) as first from part group by all) select sig, n, first from k where n > 1")

@@ -130,3 +130,35 @@ def test_tree_distance_equals_brute_force():
         assert tree_distance(a["node"], b["node"]) == pytest.approx(want)
         whole, share = scene_distance(a, b)
         assert whole == pytest.approx(want + FORCE * (a["force"] != b["force"])) and 0 <= share <= 1
+
+
+def test_stationary_masses_of_a_forced_cycle(spark):
+    """A map of period two has masses, though its powers never settle."""
+    cycle = spark.createDataFrame([("a", "b", 0.5), ("a", "c", 0.5), ("b", "a", 1.0), ("c", "a", 1.0)] + [(x, y, 0.0) for x, y in ("aa", "bb", "bc", "cb", "cc")], "prior string, following string, share double")
+    got = {r.kind: r.mass for r in inference.stationary(cycle).collect()}
+    assert got == pytest.approx({"a": 0.5, "b": 0.25, "c": 0.25})
+
+
+def test_shuffled_p_is_exact_and_its_work_bounded():
+    import time
+    from math import comb
+
+    for a, an, b, bn in ((3, 10, 1, 12), (0, 5, 5, 5), (0, 4, 0, 9), (7, 7, 2, 3), (40, 90, 25, 80)):
+        seen = abs(a / an - b / bn) - 1e-12
+        want = sum(comb(an, k) * comb(bn, a + b - k) for k in range(max(0, a + b - bn), min(an, a + b) + 1) if abs(k / an - (a + b - k) / bn) >= seen) / comb(an + bn, a + b)
+        assert inference.shuffled_p(a, an, b, bn) == pytest.approx(want)
+    began = time.time()
+    assert 0.03 < inference.shuffled_p(500_048_000, 10**9, 500_000_000, 10**9) < 0.035
+    assert time.time() - began < 2
+
+
+def test_residues_unknown_on_one_side_are_refused(spark):
+    from pyspark.sql import functions as F
+
+    from skein.functions.grammar import residue
+
+    df = spark.createDataFrame([([1, 2], [3, 0], 4), (None, None, 0)], "a array<long>, b array<long>, d long")
+    assert df.filter(residue(F.col("a"), F.col("b")) != F.col("d")).count() == 0
+    for bad in (([1], None), (None, [1]), ([1], [1, 2])):
+        with pytest.raises(Exception, match="residue"):
+            spark.createDataFrame([bad], "a array<long>, b array<long>").select(residue(F.col("a"), F.col("b"))).collect()
