@@ -89,3 +89,19 @@ def power_curve(t):
 def required_users(t):
     """The least number of users in the grid that finds each shift with power 0.8."""
     return drift.required_size(user_power(t))
+
+
+@query("""with r as (select user_id as member, value as s, (event_type = 'purchase')::int as y from events where event_type in ('purchase', 'click')),
+ h as (select member, s, sum(y) as p, sum(1 - y) as n from r group by member, s), names as (select member, row_number() over (order by member) - 1 as place, count(*) over () as al from (select distinct member from h)),
+ k as (select rep, ('0x' || substr(md5(concat('11:', rep, ':', place)), 1, 8))::bigint % al as place from names, (select unnest(range(100)) as rep)),
+ times as (select rep, member, count(*) as c from k join names using (place) group by all),
+ x as (select 0 as whole, rep, s, sum(p * c) as p, sum(n * c) as n from h join times using (member) group by rep, s union all select 1, -1, s, sum(p), sum(n) from h group by s),
+ z as (select whole, rep, p, n, coalesce(sum(n) over (partition by rep order by s rows between unbounded preceding and 1 preceding), 0) as before from x),
+ a as (select whole, rep, sum(p * (before + n / 2)) / nullif(sum(p) * sum(n), 0) as auc from z group by whole, rep)
+ select round(max(auc) filter (whole = 1), 6) as auc, round(quantile_cont(auc, 0.025) filter (whole = 0), 6) as low, round(quantile_cont(auc, 0.975) filter (whole = 0), 6) as high, count(auc) filter (whole = 0) as replicates from a""")
+def auc_by_users(t):
+    """The AUC of an event's value for telling purchases from clicks, with an interval over resampled users."""
+    from skein.operators import measures
+
+    e = t("events").filter(F.col("event_type").isin("purchase", "click")).select("user_id", (F.col("event_type") == "purchase").cast("long").alias("y"), "value")
+    return measures.auc_interval(e, "user_id", "y", "value", 100, 11).select(r6("auc").alias("auc"), r6("low").alias("low"), r6("high").alias("high"), "replicates")

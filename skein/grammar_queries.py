@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import automaton as am
 from skein.functions.grammar import scene_nodes
-from skein.operators import matching
+from skein.operators import gloss, matching
 from skein.queries import LEXICON, query
 
 #: what words stand for; classes that open and close a surface come more often
@@ -162,7 +162,8 @@ NODES_SQL = f"""{MADE_SQL},
    case when c2 = 'L' then list_slice(k1, 1, len(k1) - 1) || [k1[-1] + 1, 0] else k1 end, t2, c2, case when c2 = 'L' then p1 || [k1[-1]] else p1 end
   from (select *, case when pop then list_slice(path, 1, len(path) - 1) else path end as p1, case when pop then list_slice(kids, 1, len(kids) - 1) else kids end as k1
         from (select *, rooted and c2 not in ('A', 'D', 'F') as pop from (select steps.*, toks[pos + 1] as t2, letters[toks[pos + 1]] as c2 from steps, codes where pos < len(toks))))),
- all_nodes as (select surface, spot as path, len(spot) as depth, max(tok) filter (c = 'R') as root, list(tok) filter (c = 'O') as orients, case when count(*) filter (c = 'A') > 0 then 'zi' end as aspect, max(tok) filter (c = 'L') as relator
+ all_nodes as (select surface, spot as path, len(spot) as depth, max(tok) filter (c = 'R') as root, list(tok) filter (c = 'O') as orients, case when count(*) filter (c = 'A') > 0 then 'zi' end as aspect, max(tok) filter (c = 'L') as relator,
+                max(tok) filter (c = 'Q') as quant, max(tok) filter (c = 'T') as tense, max(tok) filter (c = 'M') as modal, max(tok) filter (c = 'D') as degree, max((length(tok) - 2) // 2) filter (c = 'A') as reps
                from steps where pos > 0 and c <> 'F' group by surface, spot),
  outs as (select surface, list_slice(path, 1, len(path) - 1) as path, list(relator) as out, count(*) - count(distinct relator) as twice from all_nodes where depth > 0 group by all),
  nodes as (select a.*, o.out from all_nodes a left join outs o using (surface, path) where surface not in (select surface from outs where twice > 0))"""
@@ -223,3 +224,69 @@ def ambiguity_by_nodes(t):
     size = nodes.groupBy("id").agg(F.count("*").alias("nodes"))
     m = matching.ambiguity(matching.consistent(nodes, live(t)), nodes).join(size, "id")
     return m.groupBy("nodes").agg(F.count("*").alias("surfaces"), F.round(F.avg("n"), 6).alias("mean_possible"), F.max("n").alias("most"), F.count_if(F.col("n") >= 2).alias("ambiguous"))
+
+
+WORDS = gloss.Glosses(
+    {
+        "R": {"mo": "rains", "ta": "glows", "re": "stops", "li": "flies", "su": "makes"}, "O": {"un": "upward", "ap": "apart"}, "L": {"fe": "after", "wo": "beside"}, "A": {"zi": "again"},
+        "M": {"ma": "remembered"}, "D": {"da": "bright"}, "Q": {"qu": "often"}, "T": {"ti": "long ago", "te": "soon"},
+    },
+    {"ka": ".", "ki": "?", "ko": "!"},
+)
+GERUNDS = {"rains": "raining", "glows": "glowing", "stops": "stopping", "flies": "flying", "makes": "making"}
+
+
+def _word(letter: str, form: str) -> str:
+    return "case " + form + " " + " ".join(f"when '{k}' then '{v}'" for k, v in WORDS.words[letter].items()) + " end"
+
+
+def _fold_sql(say, name: str) -> str:
+    """One CTE for each level, the deepest first."""
+    out = []
+    for d in range(LEXICON.depth, -1, -1):
+        kids = f"left join (select surface, list_slice(path, 1, len(path) - 1) as path, list(struct_pack(relator := relator, text := text) order by relator, text) as clauses from {name}{d + 1} group by all) k using (surface, path)" if d < LEXICON.depth else "left join (select null::varchar as surface, null::int[] as path, null::struct(relator varchar, text varchar)[] as clauses) k using (surface, path)"
+        out.append(f"{name}{d} as (select surface, path, relator, {say(d == 0)} as text from (select n.*, list_sort(coalesce(orients, [])) as orient, coalesce(clauses, []) as clauses from nodes n {kids} where depth = {d}))")
+    return ", ".join(out)
+
+
+_TIMES = "case when reps > 1 then ' x' || reps else '' end"
+_CODA = "case string_split(surface, ' ')[-1] " + " ".join(f"when '{k}' then '{v}'" for k, v in WORDS.codas.items()) + " end"
+
+
+def _gloss_sql(top: bool) -> str:
+    return f"""concat_ws(', ', {_word('Q', 'quant')}, {_word('T', 'tense')}, {_word('M', 'modal')}, nullif(array_to_string(list_transform(orient, lambda o: {_word('O', 'o')}), ', '), ''),
+     nullif(array_to_string(list_transform(clauses, lambda c: {_word('L', 'c.relator')} || ' [' || c.text || ']'), ', '), ''), {_word('R', 'root')}, {_word('A', 'aspect')} || {_TIMES}, {_word('D', 'degree')} || 'ly')"""
+
+
+def _prose_sql(top: bool) -> str:
+    orients = f"nullif(array_to_string(list_transform(orient, lambda o: {_word('O', 'o')}), ' and '), '')"
+    clauses = f"nullif(array_to_string(list_transform(clauses, lambda c: {_word('L', 'c.relator')} || ' ' || c.text), ', '), '')"
+    frames = f"{_word('Q', 'quant')}, {_word('T', 'tense')}, 'as ' || {_word('M', 'modal')}"
+    rest = f"{_word('D', 'degree')} || 'ly', {_word('A', 'aspect')} || {_TIMES}"
+    if top:
+        return f"concat_ws(', ', {frames}, {orients}, {clauses}, 'it ' || {_word('R', 'root')}, {rest})"
+    verb = "case root " + " ".join(f"when '{k}' then '{GERUNDS[v]}'" for k, v in WORDS.words["R"].items()) + " end"
+    more = f"concat_ws(', ', {rest}, {orients}, {clauses}, {frames})"
+    return f"'a ' || {verb} || case when {more} = '' then '' else ' - ' || {more} || ' -' end"
+
+
+@query(f"with recursive {NODES_SQL}, {_fold_sql(_gloss_sql, 'g')} select surface, text || {_CODA} as text from g0")
+def scene_gloss(t):
+    """Every scene in plain words, part by part."""
+    return gloss.gloss(scene_table(t)[0], WORDS, LEXICON.depth).withColumnRenamed("id", "surface")
+
+
+@query(f"with recursive {NODES_SQL}, {_fold_sql(_prose_sql, 'g')}, x as (select surface, replace(text, '-, ', '- ') as s from g0) select surface, upper(s[1]) || s[2:] || {_CODA} as text from x")
+def scene_prose(t):
+    """Every scene as a sentence, embedded happenings as gerunds."""
+    return gloss.prose(scene_table(t)[0], WORDS, LEXICON.depth).withColumnRenamed("id", "surface")
+
+
+def _denoted_sql(top: bool) -> str:
+    return "root || '|' || coalesce(aspect, '') || '|' || array_to_string(orient, ',') || '|' || array_to_string(list_sort(list_transform(clauses, lambda c: c.relator || '(' || c.text || ')')), ',')"
+
+
+@query(f"with recursive {NODES_SQL}, {_fold_sql(_denoted_sql, 'g')} select surface, min(surface) over (partition by text) as first, count(*) over (partition by text) as n from g0")
+def scene_impressions(t):
+    """Scenes that denote the same, decoration and order aside."""
+    return gloss.compatible(scene_table(t)[0]).withColumnRenamed("id", "surface")

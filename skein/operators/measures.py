@@ -127,3 +127,26 @@ def sign_flip(df: DataFrame, delta: str) -> DataFrame:
     observed = F.aggregate("d", F.lit(0.0), lambda a, x: a + x)
     each = signs.select(F.size("d").alias("n"), (observed / F.size("d")).alias("observed"), (F.abs(flipped) >= F.abs(observed) - 1e-12).cast("double").alias("hit"))
     return each.groupBy("n", "observed").agg(F.avg("hit").alias("p"))
+
+
+def auc_replicates(df: DataFrame, group: str, label: str, score: str, replicates: int, seed: int = 1) -> DataFrame:
+    """(replicate, auc): the AUC over rows (group, label 0 or 1, score), whole groups drawn with replacement.
+
+    Rows are added up by group and score before replicates multiply them; ranks are prefix sums over
+    scores within each replicate, in ranges.  Replicates without both labels have no AUC.
+    """
+    from skein.operators.budget import prefix_sums
+    from skein.operators.drift import draw_members
+
+    h = df.groupBy(F.col(group).alias("member"), F.col(score).alias("s")).agg(F.sum(label).alias("p"), F.sum(1 - F.col(label)).alias("n"))
+    times = draw_members(h.select("member").distinct(), replicates, seed)
+    sums = h.join(times, "member").groupBy("replicate", "s").agg(F.sum(F.col("p") * F.col("times")).alias("p"), F.sum(F.col("n") * F.col("times")).alias("n"))
+    ranked = prefix_sums(sums, "s", "s", "n", ["replicate"])
+    return ranked.groupBy("replicate").agg(F.try_divide(F.sum(F.col("p") * (F.col("before") + F.col("n") / 2)), F.sum("p") * F.sum("n")).alias("auc"))
+
+
+def auc_interval(df: DataFrame, group: str, label: str, score: str, replicates: int = 200, seed: int = 1) -> DataFrame:
+    """One row (auc, low, high, replicates): the AUC and its 95 % interval over resampled groups."""
+    found = auc_replicates(df, group, label, score, replicates, seed).filter("auc is not null")
+    band = found.agg(F.percentile("auc", F.lit(0.025)).alias("low"), F.percentile("auc", F.lit(0.975)).alias("high"), F.count("*").alias("replicates"))
+    return auc(df, label, score).select("auc").crossJoin(band)  # one row each
