@@ -44,6 +44,10 @@ LOAD = 3
 TRIES = 512
 #: merged pieces of each of the two parts of a worker's memory, and the longest of them in bytes
 MEMO_PIECES, MEMO_BYTES = 300_000, 64
+#: pieces that are merged together at once
+TOGETHER = 8192
+#: the rank of a pair that does not merge
+NO_PAIR = 1 << 40
 #: characters of a text that are encoded at once, and of a slice of texts
 LONG = 1_000_000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -151,9 +155,14 @@ def byte_signs() -> dict[str, int]:
 
 
 class Encoder:
-    """What a worker holds: ranks, pattern and remembered pieces of one vocabulary."""
+    """What a worker holds: ranks, pattern and remembered pieces of one vocabulary.
 
-    def __init__(self, vocabulary: Vocabulary):
+    With ``together``, short pieces that are no tokens are not merged one by one by the heap but all
+    of a slice at once, in numpy; the ids are the same.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, together: bool = False):
+        self.together = together
         self.tokens, self.hash = vocabulary.tokens, vocabulary.hash
         self.ranks = {t: r for r, t in enumerate(self.tokens)}
         self.pieces = regex.compile(vocabulary.pattern)
@@ -162,6 +171,8 @@ class Encoder:
         self.first = [find(bytes((a, b)), -1) for a in range(256) for b in range(256)]
         halves = ((find(t[:k]), find(t[k:]), r) for t, r in self.ranks.items() for k in range(1, len(t)))
         self.pairs = {a << 20 | b: r for a, b, r in halves if a is not None and b is not None}
+        keys = np.array(sorted(self.pairs), np.int64)
+        self.pair_keys, self.pair_ids = keys, np.array([self.pairs[k] for k in keys.tolist()], np.int64)
         self.ends = [list(range(1, n + 1)) for n in range(MEMO_BYTES + 1)]
         self.befores = [list(range(-1, n - 1)) for n in range(MEMO_BYTES + 1)]
         self.merged: dict[bytes, list[int]] = {}
@@ -225,21 +236,89 @@ class Encoder:
             out.append(ids)
         return out
 
+    def _pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ids that pairs merge to, ``NO_PAIR`` where they do not or where ``b`` is negative."""
+        keys = a << 20 | b
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        return np.where((self.pair_keys[at] == keys) & (b >= 0), self.pair_ids[at], NO_PAIR)
+
+    def _merge_together(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces side by side and how many each has: each round merges the lowest pair, the leftmost of equals, of every piece."""
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        width = int(sizes.max())
+        columns = np.arange(width)
+        inside = columns < sizes[:, None]
+        ids = np.full(inside.shape, -1, np.int64)
+        ids[inside] = np.array(self.bytes, np.int64)[np.frombuffer(b"".join(pieces), np.uint8)]
+        done, lengths = np.full(inside.shape, -1, np.int64), sizes.copy()
+        ranks = np.full(inside.shape, NO_PAIR, np.int64)
+        ranks[:, :-1] = self._pairs(np.maximum(ids[:, :-1], 0), ids[:, 1:])
+        left = np.arange(len(pieces))
+        while len(left):
+            at = ranks.argmin(1)
+            rows = np.arange(len(left))
+            merged = ranks[rows, at]
+            over = merged == NO_PAIR
+            if over.any():
+                done[left[over], : ids.shape[1]] = ids[over]
+                left, ids, ranks, at, merged = left[~over], ids[~over], ranks[~over], at[~over], merged[~over]
+                rows = np.arange(len(left))
+                if not len(left):
+                    break
+            # everything behind the pair moves up by one
+            ids[rows, at] = merged
+            moved = columns[: ids.shape[1] - 1] + (columns[: ids.shape[1] - 1] > at[:, None])
+            ids, ranks = np.take_along_axis(ids, moved, 1), np.take_along_axis(ranks, moved, 1)
+            lengths[left] -= 1
+            behind = np.minimum(at + 1, ids.shape[1] - 1)
+            ranks[rows, at] = np.where(at + 1 < ids.shape[1], self._pairs(merged, ids[rows, behind]), NO_PAIR)
+            before = at > 0
+            ranks[rows[before], at[before] - 1] = self._pairs(ids[rows[before], at[before] - 1], merged[before])
+        return done[columns < lengths[:, None]], lengths
+
+    def _learn_together(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of different pieces, where those of each begin, and how many it has."""
+        found = self.hash.find(pieces)
+        tokens = self.tokens
+        whole = np.fromiter((tokens[t] == p for t, p in zip(found.tolist(), pieces)), bool, len(pieces))
+        begins, sizes, parts = np.cumsum(whole) - 1, np.ones(len(pieces), np.int64), [found[whole].astype(np.int64)]
+        filled = int(whole.sum())
+        rest = np.flatnonzero(~whole)
+        lengths = np.fromiter((len(pieces[i]) for i in rest), np.int64, len(rest))
+        rest = rest[np.argsort(lengths, kind="stable")]
+        short = int((lengths <= MEMO_BYTES).sum())
+        for first in range(0, short, TOGETHER):
+            own = rest[first : min(first + TOGETHER, short)]
+            ids, counts = self._merge_together([pieces[i] for i in own])
+            begins[own], sizes[own] = filled + np.cumsum(counts) - counts, counts
+            parts.append(ids)
+            filled += len(ids)
+        for i in rest[short:]:
+            ids = np.array(self.merge(pieces[i]), np.int64)
+            begins[i], sizes[i] = filled, len(ids)
+            parts.append(ids)
+            filled += len(ids)
+        return np.concatenate(parts), begins, sizes
+
     def _stretches(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts side by side, and how many each has."""
         found = [self.pieces.findall(t) for t in texts]
         number = {p: i for i, p in enumerate(dict.fromkeys(chain.from_iterable(found)))}
         pieces_of = np.fromiter(map(len, found), np.int64, len(found))
         code = np.fromiter(map(number.__getitem__, chain.from_iterable(found)), np.int64, int(pieces_of.sum()))
-        ids = self._learn([p.encode("utf-8", "surrogatepass") for p in number])
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
-        begins = np.cumsum(sizes) - sizes
+        pieces = [p.encode("utf-8", "surrogatepass") for p in number]
+        if self.together and pieces:
+            flat, begins, sizes = self._learn_together(pieces)
+        else:
+            ids = self._learn(pieces)
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter(chain.from_iterable(ids), np.int64, int(sizes.sum()))
+            begins = np.cumsum(sizes) - sizes
         size = sizes[code]
         ends = np.cumsum(size)
         place = np.arange(int(size.sum())) + np.repeat(begins[code] - ends + size, size)
         through = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(pieces_of)])]
-        return flat[place], np.diff(through)
+        return flat[place].astype(np.uint32), np.diff(through)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Unsigned 32-bit ids of each text, whatever its length."""

@@ -8,7 +8,8 @@ end cut the tokens into groups; a token of A and one of B are linked if their by
    of all tokens of A, and those of B, are counted once per byte; where both occur is a cut.
    A stretch between two ends of either kind belongs to one token of A and one of B, and every
    overlap is one such stretch, so links are numbered by the ends; segmented prefix sums give
-   the figures of each document.
+   the figures of each document.  B is encoded word by word, each different word of a slice once,
+   as none of its pieces has a blank behind another character.
 2. Each document's different links and how often it has them are stored, compressed, in the
    checkpoint folder; tasks add up which documents hold which link before Spark groups them.
 3. The most frequent links, at most ``head`` of them by count, are sent to all tasks and settle
@@ -24,8 +25,10 @@ stretches cut before single blanks; an empty table gives no rows.  Only ``doc_id
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .byte_bpe import LONG, Encoder, Vocabulary, stretches
+from .byte_bpe import Encoder, Vocabulary
 from .common import by_volume, cut, worker_state
 
 #: links that are sent to all tasks (16 bytes each)
@@ -42,7 +45,10 @@ HEAD = 2_000_000
 #: links that a task adds up before it emits their counts
 HELD = 2_000_000
 #: bytes of texts side by side
-VOLUME = 2_000_000
+VOLUME = 4_000_000
+#: different words that are encoded as one text
+BLOCK = 20_000
+_BLANK = re.compile("(?<=[^ ]) (?=[^ ])")
 
 
 @dataclass
@@ -64,39 +70,83 @@ class Sides:
     def __init__(self, pair: Pair):
         import sentencepiece
 
-        self.encoder = Encoder(pair.a)
+        self.encoder = Encoder(pair.a, together=True)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=pair.b)
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:-1], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.begins = np.array([p.startswith("▁") for p in pieces])
         self.size_a = np.array([len(t) for t in pair.a.tokens], np.int64)
         self.size_b = np.array([len(t) for t in self.bytes_b], np.int64)
         if len(self.size_a) * len(self.size_b) >= 1 << 32:
             raise ValueError("the product of the two vocabularies must fit into 32 bits")
-        # stretches may be encoded one by one if no piece has a blank behind another character
+        # words may be encoded one by one if no piece has a blank behind another character
         self.parts = self.bytes_b[self.model.encode("a")[0]][:1] == b" " and not any("▁" in p.lstrip("▁") for p in pieces)
         most = max(len(self.size_a), len(self.size_b))
         self.items = [f"{i}{mark}" for mark in ",|;" for i in range(most)]
         self.most = most
 
-    def encode_b(self, text: str) -> list[int]:
-        if len(text) <= LONG or not self.parts:
-            return self.model.encode(text, num_threads=1)
-        first, *others = stretches(text)
-        return [i for s in [first, *(o[1:] for o in others)] for i in self.model.encode(s, num_threads=1)]
+    def words_of(self, text: str) -> list[str]:
+        """``text`` cut at its single blanks, which begin the next word's first token."""
+        if not self.parts:
+            return [text]
+        return _BLANK.split(text) if text[:1] == " " or text[-1:] == " " or "  " in text else text.split(" ")
+
+    def _block(self, words: list[str], flats: list[np.ndarray], sizes: list[np.ndarray]) -> None:
+        """Encode different words as one text: add their ids side by side to ``flats`` and how many each has to ``sizes``.
+
+        Each word begins with a piece that has the blank before it.  Words that do not come back
+        as their own bytes, or hold blanks of their own, are found by halving the block; a size of -1 stands for them.
+        """
+        text = " ".join(words)
+        found = self.model.encode(text, num_threads=1)
+        flat = np.array(found, np.int64)
+        whole = b"".join(map(self.bytes_b.__getitem__, found)) == b" " + text.encode("utf-8", "surrogatepass")
+        starts = np.flatnonzero(self.begins[flat]) if len(words) > 1 else np.zeros(1, np.int64)
+        if whole and len(starts) == len(words) and (len(words) == 1 or "▁" not in text):
+            flats.append(flat)
+            sizes.append(np.diff(starts, append=len(flat)))
+        elif len(words) == 1:
+            sizes.append(np.array([-1]))
+        else:
+            middle = len(words) // 2
+            self._block(words[:middle], flats, sizes)
+            self._block(words[middle:], flats, sizes)
+
+    def encode_b(self, texts: list[str | None]) -> list[np.ndarray | None]:
+        """Ids of each text; None where they do not join to its bytes.  Each different word is encoded once."""
+        found = [self.words_of(t) if t else [] for t in texts]
+        # words with blanks of their own come last, so that they do not break blocks of others
+        words = sorted(dict.fromkeys(chain.from_iterable(found)), key=lambda w: " " in w or "▁" in w)
+        number = {w: i for i, w in enumerate(words)}
+        none = np.empty(0, np.int64)
+        flats, counts = [none], [none]
+        for first in range(0, len(words), BLOCK):
+            self._block(words[first : first + BLOCK], flats, counts)
+        flat, count = np.concatenate(flats), np.concatenate(counts)
+        bad, sizes = count < 0, np.maximum(count, 0)
+        begins = np.cumsum(sizes) - sizes
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        code = np.fromiter(map(number.__getitem__, chain.from_iterable(found)), np.int64, int(lengths.sum()))
+        size = sizes[code]
+        through = np.concatenate([[0], np.cumsum(size)])
+        place = np.arange(int(through[-1])) + np.repeat(begins[code] - through[:-1], size)
+        bounds = np.concatenate([[0], np.cumsum(lengths)])
+        broken = np.diff(np.concatenate([[0], np.cumsum(bad[code])])[bounds]) > 0
+        parts = np.split(flat[place], through[bounds[1:-1]]) if len(found) else []
+        return [None if b else p for b, p in zip(broken, parts)]
 
     def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
         """Ids of both sides and the number of bytes; texts that do not join to their bytes have none."""
         none = np.empty(0, np.int64)
         spaced = [" " + t if t else "" for t in texts]
         a = [i.astype(np.int64) for i in self.encoder.encode(spaced)]
-        b, sizes = [], []
-        for n, (text, own) in enumerate(zip(texts, spaced)):
-            raw = own.encode("utf-8", "surrogatepass")
-            ids = self.encode_b(text) if text else []
-            if not text or b"".join(map(self.bytes_b.__getitem__, ids)) != raw or self.encoder.decode(a[n]) != raw:
-                a[n], ids, raw = none, [], b""
-            b.append(np.array(ids, np.int64))
-            sizes.append(len(raw))
+        b, sizes = self.encode_b(texts), []
+        for n, own in enumerate(spaced):
+            size = len(own.encode("utf-8", "surrogatepass"))
+            # tokens of A are made of the text's own bytes, so their sizes tell whether all are there
+            if not own or b[n] is None or self.size_a[a[n]].sum() != size:
+                a[n], b[n], size = none, none, 0
+            sizes.append(size)
         return a, b, np.array(sizes, np.int64)
 
 
@@ -173,7 +223,7 @@ def aligned(docs: DataFrame, pair: Pair) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, row = _sides(pair), TaskContext.get().partitionId() << 36
         width = len(own.size_b)
-        for b in by_volume(batches, 1, VOLUME):
+        for b in by_volume(batches, 1, VOLUME, 1024):
             a_ids, b_ids, sizes = own.encode(b.column(1).to_pylist())
             n_a, n_b = (np.array([len(i) for i in ids], np.int64) for ids in (a_ids, b_ids))
             flat_a, flat_b = np.concatenate(a_ids), np.concatenate(b_ids)

@@ -14,6 +14,7 @@ from skein.llm.queries import op12_byte_bpe, tokenizer_path
 
 VOCABULARY = byte_bpe.Vocabulary.of_ranks(tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 ENCODER = byte_bpe.Encoder(VOCABULARY)
+TOGETHER = byte_bpe.Encoder(VOCABULARY, together=True)
 LIBRARY = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ENCODER.ranks, special_tokens={})
 
 
@@ -36,12 +37,12 @@ def test_both_files_give_the_same_vocabulary():
 @given(st.text(max_size=200))
 def test_any_text_as_the_library_encodes_it(text):
     ids = ENCODER.encode([text])[0]
-    assert ids.tolist() == LIBRARY.encode_ordinary(text) and ENCODER.decode(ids) == text.encode()
+    assert ids.tolist() == TOGETHER.encode([text])[0].tolist() == LIBRARY.encode_ordinary(text) and ENCODER.decode(ids) == text.encode()
 
 
 @pytest.mark.parametrize("text", ["a" * 6000, "ab" * 3000, " " * 6000, "\n \t" * 2000, "é日本" * 2000, "<|endoftext|>", "don't  stop\r\n\r\n 12345"])
 def test_long_pieces_and_odd_texts(text):
-    assert ENCODER.encode([text])[0].tolist() == LIBRARY.encode_ordinary(text)
+    assert ENCODER.encode([text])[0].tolist() == TOGETHER.encode([text])[0].tolist() == LIBRARY.encode_ordinary(text)
 
 
 def test_stretches_do_not_change_ids(monkeypatch):
@@ -49,7 +50,9 @@ def test_stretches_do_not_change_ids(monkeypatch):
     rng = random.Random(4)
     texts = ["".join(rng.choice("ab \n'sé1!") for _ in range(rng.randrange(600))) for _ in range(60)]
     assert any(len(byte_bpe.stretches(t)) > 2 for t in texts)
-    assert [i.tolist() for i in ENCODER.encode(texts)] == [LIBRARY.encode_ordinary(t) for t in texts]
+    monkeypatch.setattr(byte_bpe, "TOGETHER", 7)
+    for own in (ENCODER, TOGETHER):
+        assert [i.tolist() for i in own.encode(texts)] == [LIBRARY.encode_ordinary(t) for t in texts]
 
 
 def test_memo_that_overflows_changes_nothing(monkeypatch):

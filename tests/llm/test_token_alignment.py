@@ -68,14 +68,19 @@ def test_every_head_gives_the_plain_result(spark, head):
     assert results(token_alignment.alignments(docs, PAIR, head=head)) == brute(rows)
 
 
-def test_stretches_and_small_parts_change_nothing(spark, monkeypatch):
-    rows = [(i, t * 5 if t else t) for i, t in sample()]
+def test_words_one_by_one_and_small_parts_change_nothing(spark, monkeypatch):
+    rows = [(i, t * 5 if t else t) for i, t in sample()] + [(i, t) for i, t in enumerate(["a  b", " a", "a ", "  a  ", "a\n b", "x\t y", "a \u00a0 b", "▁ a ▁", "a" * 90])]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(byte_bpe, "LONG", 40)
+    monkeypatch.setattr(token_alignment, "BLOCK", 7)
     own = token_alignment.Sides(PAIR)
-    whole = [own.model.encode(t) for _, t in rows if t and "▁" not in t]
-    for module in (byte_bpe, token_alignment):
-        monkeypatch.setattr(module, "LONG", 40)
-    assert own.parts and [own.encode_b(t) for _, t in rows if t and "▁" not in t] == whole
+    assert own.parts
+    for _ in range(2):
+        for (_, text), ids in zip(rows, own.encode_b([t for _, t in rows])):
+            if ids is not None:
+                assert ids.tolist() == own.model.encode(text or "")
+            else:
+                assert b"".join(map(own.bytes_b.__getitem__, own.model.encode(text))) != (" " + text).encode()
     monkeypatch.setattr(token_alignment, "HELD", 10)
     assert results(token_alignment.alignments(docs, PAIR)) == brute(rows)
 
