@@ -8,8 +8,8 @@ end cut the tokens into groups; a token of A and one of B are linked if their by
    of all tokens of A, and those of B, are counted once per byte; where both occur is a cut.
    A stretch between two ends of either kind belongs to one token of A and one of B, and every
    overlap is one such stretch, so links are numbered by the ends; segmented prefix sums give
-   the figures of each document.  B is encoded word by word, each different word of a slice once,
-   as none of its pieces has a blank behind another character.
+   the figures of each document.  Both sides encode each different word of a slice once: the
+   pattern of A always cuts at a single blank, and no piece of B has a blank behind another character.
 2. Each document's different links and how often it has them are stored, compressed, in the
    checkpoint folder; tasks add up which documents hold which link before Spark groups them.
 3. The most frequent links, at most ``head`` of them by count, are sent to all tasks and settle
@@ -91,63 +91,63 @@ class Sides:
             return [text]
         return _BLANK.split(text) if text[:1] == " " or text[-1:] == " " or "  " in text else text.split(" ")
 
-    def _block(self, words: list[str], flats: list[np.ndarray], sizes: list[np.ndarray]) -> None:
-        """Encode different words as one text: add their ids side by side to ``flats`` and how many each has to ``sizes``.
+    def _block(self, words: list[str], out: list[tuple[np.ndarray, ...]]) -> None:
+        """Encode different words as one text on both sides.
 
-        Each word begins with a piece that has the blank before it.  Words that do not come back
-        as their own bytes, or hold blanks of their own, are found by halving the block; a size of -1 stands for them.
+        Adds to ``out`` their ids of A and how many each has, the same of B, and the bytes of each with its blank.
+        Each word begins with the blank before it: in A where the bytes of its tokens say so, in B with a piece
+        that has the blank.  Words that B does not give back as their own bytes, or that hold blanks of their own,
+        are found by halving the block; a count of -1 in B stands for the former.
         """
         text = " ".join(words)
+        raw = b" " + text.encode("utf-8", "surrogatepass")
         found = self.model.encode(text, num_threads=1)
-        flat = np.array(found, np.int64)
-        whole = b"".join(map(self.bytes_b.__getitem__, found)) == b" " + text.encode("utf-8", "surrogatepass")
-        starts = np.flatnonzero(self.begins[flat]) if len(words) > 1 else np.zeros(1, np.int64)
-        if whole and len(starts) == len(words) and (len(words) == 1 or "▁" not in text):
-            flats.append(flat)
-            sizes.append(np.diff(starts, append=len(flat)))
-        elif len(words) == 1:
-            sizes.append(np.array([-1]))
-        else:
+        b = np.array(found, np.int64)
+        whole = b"".join(map(self.bytes_b.__getitem__, found)) == raw
+        one = len(words) == 1
+        starts_b = np.zeros(1, np.int64) if one else np.flatnonzero(self.begins[b])
+        starts = np.zeros(1, np.int64) if one else np.flatnonzero(np.frombuffer(raw, np.uint8) == 0x20)
+        if not one and not (whole and len(starts_b) == len(starts) == len(words) and "▁" not in text):
             middle = len(words) // 2
-            self._block(words[:middle], flats, sizes)
-            self._block(words[middle:], flats, sizes)
-
-    def encode_b(self, texts: list[str | None]) -> list[np.ndarray | None]:
-        """Ids of each text; None where they do not join to its bytes.  Each different word is encoded once."""
+            self._block(words[:middle], out)
+            self._block(words[middle:], out)
+            return
+        a = self.encoder.encode([" " + text])[0].astype(np.int64)
+        starts_a = np.searchsorted(np.cumsum(self.size_a[a]), starts, side="right")
+        counts_b = np.diff(starts_b, append=len(b)) if whole else np.array([-1])
+        out.append((a, np.diff(starts_a, append=len(a)), b if whole else b[:0], counts_b, np.diff(starts, append=len(raw))))
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of A of all texts side by side and how many each has, the same of B, and the bytes of each text.
+
+        Each different word is encoded once.  Texts that do not join to their bytes have no ids and no bytes.
+        """
         found = [self.words_of(t) if t else [] for t in texts]
         # words with blanks of their own come last, so that they do not break blocks of others
         words = sorted(dict.fromkeys(chain.from_iterable(found)), key=lambda w: " " in w or "▁" in w)
         number = {w: i for i, w in enumerate(words)}
         none = np.empty(0, np.int64)
-        flats, counts = [none], [none]
+        out: list[tuple[np.ndarray, ...]] = [(none,) * 5]
         for first in range(0, len(words), BLOCK):
-            self._block(words[first : first + BLOCK], flats, counts)
-        flat, count = np.concatenate(flats), np.concatenate(counts)
-        bad, sizes = count < 0, np.maximum(count, 0)
-        begins = np.cumsum(sizes) - sizes
+            self._block(words[first : first + BLOCK], out)
+        flat_a, count_a, flat_b, count_b, size = map(np.concatenate, zip(*out))
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         code = np.fromiter(map(number.__getitem__, chain.from_iterable(found)), np.int64, int(lengths.sum()))
-        size = sizes[code]
-        through = np.concatenate([[0], np.cumsum(size)])
-        place = np.arange(int(through[-1])) + np.repeat(begins[code] - through[:-1], size)
         bounds = np.concatenate([[0], np.cumsum(lengths)])
-        broken = np.diff(np.concatenate([[0], np.cumsum(bad[code])])[bounds]) > 0
-        parts = np.split(flat[place], through[bounds[1:-1]]) if len(found) else []
-        return [None if b else p for b, p in zip(broken, parts)]
 
-    def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-        """Ids of both sides and the number of bytes; texts that do not join to their bytes have none."""
-        none = np.empty(0, np.int64)
-        spaced = [" " + t if t else "" for t in texts]
-        a = [i.astype(np.int64) for i in self.encoder.encode(spaced)]
-        b, sizes = self.encode_b(texts), []
-        for n, own in enumerate(spaced):
-            size = len(own.encode("utf-8", "surrogatepass"))
-            # tokens of A are made of the text's own bytes, so their sizes tell whether all are there
-            if not own or b[n] is None or self.size_a[a[n]].sum() != size:
-                a[n], b[n], size = none, none, 0
-            sizes.append(size)
-        return a, b, np.array(sizes, np.int64)
+        def in_each(values: np.ndarray) -> np.ndarray:
+            return np.diff(np.concatenate([[0], np.cumsum(values)])[bounds])
+
+        good = np.repeat(in_each(count_b[code] < 0) == 0, lengths)
+        sides = []
+        for flat, count in ((flat_a, count_a), (flat_b, np.maximum(count_b, 0))):
+            begins = np.cumsum(count) - count
+            own = code[good]
+            many = count[own]
+            ends = np.cumsum(many)
+            ids = flat[np.arange(int(many.sum())) + np.repeat(begins[own] - ends + many, many)]
+            sides += [ids, in_each(np.where(good, count[code], 0))]
+        return (*sides, in_each(np.where(good, size[code], 0)))
 
 
 @dataclass
@@ -224,9 +224,7 @@ def aligned(docs: DataFrame, pair: Pair) -> DataFrame:
         own, row = _sides(pair), TaskContext.get().partitionId() << 36
         width = len(own.size_b)
         for b in by_volume(batches, 1, VOLUME, 1024):
-            a_ids, b_ids, sizes = own.encode(b.column(1).to_pylist())
-            n_a, n_b = (np.array([len(i) for i in ids], np.int64) for ids in (a_ids, b_ids))
-            flat_a, flat_b = np.concatenate(a_ids), np.concatenate(b_ids)
+            flat_a, n_a, flat_b, n_b, sizes = own.encode(b.column(1).to_pylist())
             found = align(own.size_a[flat_a], own.size_b[flat_b], n_a, n_b, sizes)
             items = group_items(flat_a, flat_b, found, own.most)
             doc = np.repeat(np.arange(b.num_rows), found.n_links)

@@ -69,18 +69,22 @@ def test_every_head_gives_the_plain_result(spark, head):
 
 
 def test_words_one_by_one_and_small_parts_change_nothing(spark, monkeypatch):
-    rows = [(i, t * 5 if t else t) for i, t in sample()] + [(i, t) for i, t in enumerate(["a  b", " a", "a ", "  a  ", "a\n b", "x\t y", "a \u00a0 b", "▁ a ▁", "a" * 90])]
+    rows = [(i, t * 5 if t else t) for i, t in sample()] + [(i, t) for i, t in enumerate(["a  b", " a", "a ", "  a  ", "a\n b", "x\t y", "x \n\n y \n", " \n\t z\r\n q", "\n a", "a \u00a0 b", "▁ a ▁", "a" * 90])]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     monkeypatch.setattr(byte_bpe, "LONG", 40)
     monkeypatch.setattr(token_alignment, "BLOCK", 7)
     own = token_alignment.Sides(PAIR)
     assert own.parts
-    for _ in range(2):
-        for (_, text), ids in zip(rows, own.encode_b([t for _, t in rows])):
-            if ids is not None:
-                assert ids.tolist() == own.model.encode(text or "")
-            else:
-                assert b"".join(map(own.bytes_b.__getitem__, own.model.encode(text))) != (" " + text).encode()
+    flat_a, n_a, flat_b, n_b, sizes = own.encode([t for _, t in rows])
+    at_a = at_b = 0
+    for (_, text), a, b, size in zip(rows, n_a, n_b, sizes):
+        ids_a, ids_b = flat_a[at_a : at_a + a].tolist(), flat_b[at_b : at_b + b].tolist()
+        at_a, at_b = at_a + a, at_b + b
+        whole = own.model.encode(text or "")
+        if text and b"".join(map(own.bytes_b.__getitem__, whole)) == (" " + text).encode():
+            assert ids_b == whole and ids_a == own.encoder.encode([" " + text])[0].tolist() and size == len((" " + text).encode())
+        else:
+            assert a == b == size == 0
     monkeypatch.setattr(token_alignment, "HELD", 10)
     assert results(token_alignment.alignments(docs, PAIR)) == brute(rows)
 
