@@ -33,4 +33,4 @@ def test_stages_take_effect_and_keep_clean_documents(spark, tmp_path):
 
 def test_every_operator_is_registered_once():
     numbers = sorted(int(q.split("_")[0][2:]) for q in QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
