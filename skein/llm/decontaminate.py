@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small
+from .common import cut, small, worker_state
 
 #: words of the documents of a block, and words of the benchmark that are shipped at once
 BLOCK_WORDS, SLICE_WORDS = 500_000, 400_000
@@ -70,6 +70,7 @@ def _index_row(doc_ids: list, texts: list[np.ndarray], numbers: Numbers) -> pa.R
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    worker_state("decontamination", dict)
     doc_ids, texts, numbers, size = [], [], Numbers(), 0
     for b in small(batches):
         for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -220,6 +221,7 @@ def _search(shipped):
     """Adds the occurrences of one slice to each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("decontamination", dict)
         phrases: Phrases = shipped.value
         for row in _blocks(batches):
             block = Block(row)
@@ -263,15 +265,26 @@ def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _summed(search):
+    """The last slice's search and the sums in one step, so that a task needs one worker for both."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _summary(search(batches))
+
+    return run
+
+
 def contamination(docs: DataFrame | None, benchmark: DataFrame, width: int = 10, slice_words: int = SLICE_WORDS, index: DataFrame | None = None) -> DataFrame:
     """Per document: words, words inside any occurrence of a benchmark window, and the items hit.
 
     ``index`` is a stored ``positional_index``; without it, that of ``docs`` is made and stored.
     """
     rows = cut(positional_index(docs)) if index is None else index
+    search = None
     for phrases in slices(benchmark, width, slice_words=slice_words):
-        rows = rows.mapInArrow(_search(benchmark.sparkSession.sparkContext.broadcast(phrases)), f"{INDEX}, {FOUND}")
-    return rows.mapInArrow(_summary, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+        rows = rows if search is None else rows.mapInArrow(search, f"{INDEX}, {FOUND}")
+        search = _search(benchmark.sparkSession.sparkContext.broadcast(phrases))
+    return rows.mapInArrow(_summed(search), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def matches(docs: DataFrame | None, benchmark: DataFrame, width: int = 10, slop: int | None = None, slice_words: int = SLICE_WORDS, index: DataFrame | None = None) -> DataFrame:

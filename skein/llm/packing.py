@@ -92,11 +92,11 @@ class WordEncoder:
     tokenizer as they are.  A tokenizer of other rules than these encodes whole texts itself.
     """
 
-    def __init__(self, tokenizer_path: str):
+    def __init__(self, tokenizer_path: str, cuts_words: bool | None = None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.cuts_words = _cuts_words(tokenizer_path)
+        self.cuts_words = _cuts_words(tokenizer_path) if cuts_words is None else cuts_words
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -252,9 +252,9 @@ def _piece_hashes(buffer: bytes, data: np.ndarray, starts: np.ndarray, ends: np.
     return first, second
 
 
-def encoder_of(tokenizer_path: str) -> WordEncoder:
+def encoder_of(tokenizer_path: str, cuts_words: bool | None = None) -> WordEncoder:
     """The worker's encoder, kept for its next tasks of the same kind."""
-    return worker_state(f"encoder {tokenizer_path}", lambda: WordEncoder(tokenizer_path))
+    return worker_state(f"encoder {tokenizer_path}", lambda: WordEncoder(tokenizer_path, cuts_words))
 
 
 #: characters of text that are encoded at once
@@ -265,10 +265,11 @@ def _pieces(tokenizer_path: str, closing_id: int, capacity: int, with_ids: bool)
     end = np.array([closing_id], "<u4")
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][: 5 + with_ids]
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids]
+    cuts_words = _cuts_words(tokenizer_path)  # read by the driver: no worker holds the parsed file
 
     def rows_of(docs: list, texts: list) -> pa.RecordBatch:
         rows = []
-        for doc_id, ids in zip(docs, encoder_of(tokenizer_path).encode(texts)):
+        for doc_id, ids in zip(docs, encoder_of(tokenizer_path, cuts_words).encode(texts)):
             ids = np.concatenate([ids, end])
             for piece, start in enumerate(range(0, len(ids), capacity)):
                 part = ids[start : start + capacity].tobytes()

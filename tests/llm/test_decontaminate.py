@@ -58,3 +58,11 @@ def test_empty_tables(spark):
     d, b = setup(spark, [(1, "a b")], [])
     assert [tuple(r)[:4] for r in contamination(d, b).drop("items_sha256").collect()] == [(1, 2, 0, 0)]
     assert contamination(d.limit(0), b).count() == 0
+
+
+def test_search_and_sums_share_a_worker(spark, docs_of):
+    """Two Python steps in one task would be two workers, each with memory of its own."""
+    items = spark.createDataFrame([("x", "a b c")], "item_id string, text string")
+    found = contamination(docs_of([(1, "z a b c")]), items)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert [(r.n_words, r.n_hit, r.contaminated) for r in found.collect()] == [(4, 3, True)]

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from skein.llm.packing import WordEncoder, pack, plan, sequences
@@ -61,3 +62,13 @@ def test_round_trip(docs_of):
 def test_empty_table_and_repeated_rows(docs_of):
     assert pack(docs_of([]), PATH).count() == 0
     assert [(r.doc_id, r.length) for r in pack(docs_of([(1, "a"), (1, "a")]), PATH).collect()] == [(1, 2), (1, 2)]
+
+
+def test_workers_do_not_parse_the_tokenizer_file(monkeypatch):
+    """The driver reads the rules once; a worker that parsed them would hold the whole file as objects."""
+    from skein.llm import packing
+
+    run = packing._pieces(PATH, 0, 2048, False)
+    monkeypatch.setattr(packing, "_cuts_words", None)
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["two words"])], names=["doc_id", "text"])
+    assert [b.num_rows for b in run(iter([batch]))] == [1]
