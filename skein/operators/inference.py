@@ -13,15 +13,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: rows of a cell in which turns are re-paired
+#: rows of a range of the order in which turns are re-paired
 CELL = 20_000
+#: items of all turns that are sent to every executor; beyond them the turns are shuffled
+SENT_ITEMS = 1_000_000
 
 
 def transience(turns: DataFrame, key: str, order: list[str], items: str, lags: int, reps: int) -> DataFrame:
     """Overlap at each lag, its null by re-pairing without replacement, z, resolving power and the verdicts.
 
-    The turns of a lag meet all turns in a seeded order, rank by rank within hash cells of bounded
-    size, so no sort takes a whole replicate; where cells differ in size their last ranks stay alone.
+    The turns of a lag meet all turns in a seeded order, rank by rank.  Ranks are taken over narrow rows
+    within ranges of the order and moved by the counts of earlier ranges, so no task sorts a whole replicate;
+    item sets join the pairs afterwards.  Copies of the turns look as small as the turns to the planner, which would
+    send them to the driver for a broadcast, so these joins are marked.
     """
     w = Window.partitionBy(key).orderBy(*order)
     hashed = F.transform(items, lambda x: F.xxhash64(x))
@@ -29,16 +33,24 @@ def transience(turns: DataFrame, key: str, order: list[str], items: str, lags: i
     pairs = F.array(*(F.struct(F.lit(j).alias("lag"), F.size(F.array_intersect("x", f"l{j}")).alias("o"), F.least(F.size("x"), F.size(f"l{j}")).alias("m"), F.col(f"l{j}").isNotNull().alias("ok")) for j in range(1, lags + 1)))
     real = rows.select(F.inline(pairs)).filter("ok").groupBy("lag").agg(F.avg("o").alias("overlap"), F.avg("m").alias("most"), F.count("*").alias("n_pairs"))
 
-    ident = rows.select("k", "i", "n", "x")
-    cells = max(1, ident.count() // CELL)
-    every = ident.withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(lags)))).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-
-    def placed(df: DataFrame, side: str, as_: str) -> DataFrame:
-        h = df.withColumn("h", F.md5(F.concat(F.lit(f"{side}:"), "rep", F.lit(":"), "lag", F.lit(":"), "k", F.lit("."), "i")))
-        h = h.withColumn("cell", F.pmod(F.xxhash64("h"), F.lit(cells)))
-        return h.withColumn("place", F.row_number().over(Window.partitionBy("lag", "rep", "cell").orderBy("h"))).select("lag", "rep", "cell", "place", F.col("x").alias(as_))
-
-    met = placed(every.filter("i + lag <= n"), "a", "x").join(placed(every, "b", "y"), ["lag", "rep", "cell", "place"])
+    sets = rows.select(F.concat("k", F.lit("."), "i").alias("t"), "i", "n", "x")
+    all_rows, volume = sets.agg(F.count("*"), F.coalesce(F.sum(F.size("x")), F.lit(0))).first()
+    cells = max(1, -(-all_rows // CELL))
+    every = sets.select("t", "i", "n", F.explode(F.sequence(F.lit(1), F.lit(lags))).alias("lag")).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+
+    def placed(df: DataFrame, side: str) -> DataFrame:
+        h = df.select("lag", "rep", F.col("t").alias(side), F.md5(F.concat(F.lit(f"{side}:"), "rep", F.lit(":"), "lag", F.lit(":"), "t")).alias("h"))
+        h = h.withColumn("cell", F.shiftright(F.conv(F.substring("h", 1, 4), 16, 10).cast("long") * cells, 16)).withColumn("h", F.unhex("h"))
+        up = Window.partitionBy("lag", "rep").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+        before = h.groupBy("lag", "rep", "cell").count().select("lag", "rep", "cell", F.coalesce(F.sum("count").over(up), F.lit(0)).alias("before"))
+        within = h.withColumn("place", F.row_number().over(Window.partitionBy("lag", "rep", "cell").orderBy("h")))
+        # one row for each range of ``CELL`` rows
+        return within.join(F.broadcast(before), ["lag", "rep", "cell"]).select("lag", "rep", (F.col("place") + F.col("before")).alias("place"), side)
+
+    met = placed(every.filter("i + lag <= n"), "a").join(placed(every, "b").hint("merge"), ["lag", "rep", "place"])
+    for side, as_ in (("a", "x"), ("b", "y")):
+        own = sets.select(F.col("t").alias(side), F.col("x").alias(as_))
+        met = met.join(F.broadcast(own) if volume + all_rows <= SENT_ITEMS else own.hint("merge"), side)
     means = met.groupBy("lag", "rep").agg(F.avg(F.size(F.array_intersect("x", "y"))).alias("m"))
     null = means.groupBy("lag").agg(F.avg("m").alias("mu"), F.stddev_samp("m").alias("sd"))
     z = real.join(null, "lag").withColumn("z", F.try_divide(F.col("overlap") - F.col("mu"), F.col("sd"))).withColumn("power", F.coalesce(F.try_divide(F.col("most") - F.col("mu"), F.col("sd")), F.lit(0.0)))

@@ -1,5 +1,6 @@
 """Measurements that SQL cannot state, against brute force; refusals and edge cases of the others."""
 
+import hashlib
 import itertools
 import math
 import random
@@ -162,3 +163,26 @@ def test_residues_unknown_on_one_side_are_refused(spark):
     for bad in (([1], None), (None, [1]), ([1], [1, 2])):
         with pytest.raises(Exception, match="residue"):
             spark.createDataFrame([bad], "a array<long>, b array<long>").select(residue(F.col("a"), F.col("b"))).collect()
+
+
+def test_turns_are_re_paired_by_their_rank_in_the_whole_order(spark, monkeypatch):
+    monkeypatch.setattr(inference, "CELL", 7)
+    rng = random.Random(4)
+    turns = {(c, i): {f"w{rng.randrange(12)}" for _ in range(4)} for c in range(20) for i in range(1, 6)}
+    df = spark.createDataFrame([(c, i, sorted(x)) for (c, i), x in turns.items()], "c long, i long, x array<string>")
+    got = {r.lag: r for r in inference.transience(df, "c", ["i"], "x", 2, 6).collect()}
+    for lag in (1, 2):
+        means = []
+        for rep in range(6):
+            place = lambda side, own: sorted(own, key=lambda t: hashlib.md5(f"{side}:{rep}:{lag}:{t[0]}.{t[1]}".encode()).hexdigest())  # noqa: B023, E731
+            pairs = list(zip(place("a", [t for t in turns if t[1] + lag <= 5]), place("b", turns)))
+            means.append(sum(len(turns[a] & turns[b]) for a, b in pairs) / len(pairs))
+        assert got[lag].null_mean == pytest.approx(np.mean(means), abs=1e-6) and got[lag].null_sd == pytest.approx(np.std(means, ddof=1), abs=1e-6)
+
+
+def test_no_copies_of_turns_are_broadcast(spark, tmp_path, monkeypatch):
+    """Rows multiplied by replicates look as small as the file they come from."""
+    monkeypatch.setattr(inference, "SENT_ITEMS", -1)
+    spark.createDataFrame([(1, i, ["a"]) for i in range(4)], "c long, i long, x array<string>").write.parquet(f"{tmp_path}/t")
+    plan = inference.transience(spark.read.parquet(f"{tmp_path}/t"), "c", ["i"], "x", 2, 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 3
