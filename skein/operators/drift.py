@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.operators.settle import settled
+
 #: groups whose sums a task holds before it emits them
 HELD = 256
 
@@ -123,14 +125,35 @@ def drawn(text: Column, among: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % among
 
 
-def draw_members(members: DataFrame, replicates: int, seed: int) -> DataFrame:
-    """(replicate, member, times): how often each replicate draws each of the rows (member); members are numbered by their order."""
+def _draws(members: DataFrame, replicates: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(member, place), numbered by the order of members, and (replicate, place), one row for each draw."""
     from pyspark.sql import Window
 
-    # members are the builds of an experiment, one row each
-    numbered = members.select("member", (F.row_number().over(Window.orderBy("member")) - 1).cast("long").alias("place"), F.count("*").over(Window.partitionBy()).alias("all"))
+    from skein.operators.sequences import numbered as in_ranges
+
+    members = settled(members.select("member"))
+    if dict(members.dtypes)["member"] == "string":
+        # members are the builds of an experiment, one row each
+        numbered = members.select("member", (F.row_number().over(Window.orderBy("member")) - 1).cast("long").alias("place"))
+    else:
+        numbered = in_ranges(members, "member", name="place").select("member", (F.col("place") - 1).cast("long").alias("place"))
+    count = members.count()
     key = F.concat_ws(":", F.lit(str(seed)), F.col("replicate").cast("string"), F.col("place").cast("string"))
-    draws = numbered.select("all", "place", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).select("replicate", drawn(key, F.col("all")).alias("place"))
+    # places are the numbers under the count, whatever the members are; they are dealt before replicates multiply them
+    each = members.sparkSession.range(count).select(F.col("id").alias("place"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    return numbered, each.select("replicate", drawn(key, F.lit(max(1, count))).alias("place"))
+
+
+def draw_lists(members: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """(member, drawn): the replicates that draw each of the rows (member), once for each time."""
+    numbered, draws = _draws(members, replicates, seed)
+    lists = draws.groupBy("place").agg(F.collect_list(F.col("replicate").cast("short")).alias("drawn"))
+    return lists.join(numbered, "place").select("member", "drawn")
+
+
+def draw_members(members: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """(replicate, member, times): how often each replicate draws each of the rows (member); members are numbered by their order."""
+    numbered, draws = _draws(members, replicates, seed)
     return draws.groupBy("replicate", "place").agg(F.count("*").alias("times")).join(numbered.select("place", "member"), "place").select("replicate", "member", "times")
 
 

@@ -108,3 +108,27 @@ def test_power_by_trials(spark):
     assert got[10, 0.4] > 0.8 > 0.3 > got[10, 0.0]
     power = spark.createDataFrame([(4, 0.1, 0.9), (8, 0.1, 0.7), (16, 0.1, 0.8), (32, 0.1, 0.95), (4, 0.0, 0.1), (8, 0.0, 0.0)], "size int, delta double, power double")
     assert {r.delta: r.required for r in drift.required_size(power).collect()} == {0.1: 16, 0.0: None}
+
+
+def test_replicates_add_up_over_batches_and_ranges(spark):
+    """AUCs of drawn groups against a plain count, with scores that go on from one batch to the next."""
+    from skein.operators.drift import draw_lists, draw_members
+    from skein.operators.measures import auc_replicates
+
+    rng = random.Random(6)
+    rows = [(m, rng.randrange(2), float(rng.randrange(9))) for m in range(12) for _ in range(15)]
+    df = spark.createDataFrame(rows, "m long, y long, s double")
+    members = df.select(F.col("m").alias("member")).distinct()
+    times = {(r.replicate, r.member): r.times for r in draw_members(members, 5, 11).collect()}
+    lists = {(k, r.member): r.drawn.count(k) for r in draw_lists(members, 5, 11).collect() for k in set(r.drawn)}
+    assert lists == times
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, 3)
+    try:
+        got = {r.replicate: r.auc for r in auc_replicates(df, "m", "y", "s", 5, 11).collect()}
+    finally:
+        spark.conf.unset(key)
+    for k in range(5):
+        drawn = [(y, s) for m, y, s in rows for _ in range(times.get((k, m), 0))]
+        p, n = [s for y, s in drawn if y], [s for y, s in drawn if not y]
+        assert got[k] == pytest.approx(sum((a > b) + (a == b) / 2 for a in p for b in n) / (len(p) * len(n)))
