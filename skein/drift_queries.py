@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as tx
 from skein.operators import drift
+from skein.operators.settle import settled
 from skein.queries import TOK, query, r6
 
 #: a document as a point: its words, as a logarithm, and the share of different ones
@@ -27,9 +28,10 @@ def document_pairs(t) -> DataFrame:
     words = F.col("w")
     d = t("documents").select("source", F.when(F.floor(F.col("doc_id") / 20) % 2 == 0, "live").otherwise("yoked").alias("arm"), tx.tokens("text").alias("w")).filter(F.size("w") >= 8)
     points = d.select("source", "arm", F.array(F.log(F.size(words)), F.size(F.array_distinct(words)) / F.size(words)).alias("p"))
-    clouds = drift.moments(points, ["arm", "source"], "p", 2)
+    # one row for each arm and source, from one reading of the texts
+    clouds = settled(drift.moments(points, ["arm", "source"], "p", 2))
     live, yoked = (clouds.filter(F.col("arm") == a) for a in ("live", "yoked"))
-    names = t("documents").select("source").distinct()
+    names = settled(t("documents").select("source").distinct())
     # pairs of sources, of which an experiment has a few
     pairs = names.select(F.col("source").alias("a")).join(names.select(F.col("source").alias("b")), F.col("a") < F.col("b"))
     scale = drift.axis_scale(live)

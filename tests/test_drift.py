@@ -132,3 +132,10 @@ def test_replicates_add_up_over_batches_and_ranges(spark):
         drawn = [(y, s) for m, y, s in rows for _ in range(times.get((k, m), 0))]
         p, n = [s for y, s in drawn if y], [s for y, s in drawn if not y]
         assert got[k] == pytest.approx(sum((a > b) + (a == b) / 2 for a in p for b in n) / (len(p) * len(n)))
+
+
+def test_pairs_of_sources_read_no_text_again(spark, sf):
+    from skein.drift_queries import document_pairs
+
+    plan = document_pairs(lambda name: spark.read.parquet(f"{sf}/{name}.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert "parquet" not in plan
