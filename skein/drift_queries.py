@@ -58,7 +58,7 @@ REPLICATES = 400
  select round((select avg(delta) from pairs), 6) as mean, (select count(*) from pairs) as n_pairs, round(quantile_cont(mean, 0.025), 6) as low, round(quantile_cont(mean, 0.975), 6) as high, count(*) as replicates from x""")
 def dyadic_bootstrap(t):
     """The mean change over all pairs of sources, with an interval over resampled sources."""
-    return drift.dyadic_interval(document_pairs(t), "delta", REPLICATES, 7).select(r6("mean").alias("mean"), "n_pairs", r6("low").alias("low"), r6("high").alias("high"), "replicates")
+    return drift.dyadic_interval(settled(document_pairs(t).select("a", "b", "delta")), "delta", REPLICATES, 7).select(r6("mean").alias("mean"), "n_pairs", r6("low").alias("low"), r6("high").alias("high"), "replicates")
 
 
 SIZES, DELTAS, TOSSES, TRIALS = [4, 8, 16, 32], [0.0, 0.1, 0.25], 12, 60
