@@ -49,6 +49,14 @@ def stems(words: DataFrame, word: str = "w", passes: int = 3) -> DataFrame:
     return out
 
 
+def stem_array(words: Column, passes: int = 3) -> Column:
+    """The stems of those of an array of words that may carry."""
+    out = F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*STOP))
+    for _ in range(passes):
+        out = F.transform(out, strip_ending)
+    return out
+
+
 def exchanges(turns: DataFrame, key: str, order: list[str], asks: str, answers: str, role: str = "role", text: str = "text") -> DataFrame:
     """(key, i, prior, reply): texts of the rows of role ``answers`` that follow one of role ``asks``."""
     w = Window.partitionBy(key).orderBy(*order)
@@ -59,11 +67,10 @@ def exchanges(turns: DataFrame, key: str, order: list[str], asks: str, answers:
 def gate(pairs: DataFrame, key: str = "conv_id") -> DataFrame:
     """(key, i, carried, added, reason, kept): shared stems, new words, and whether all exchanges so far carry."""
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"([a-z']+)")))
-    sides = pairs.select(key, "i", F.explode(words(F.col("prior"))).alias("w"), F.lit(0).alias("side")).unionAll(pairs.select(key, "i", F.explode(words(F.col("reply"))).alias("w"), F.lit(1).alias("side")))
-    by_stem = sides.join(stems(sides), "w").groupBy(key, "i", "stem").agg(F.min("side").alias("low"), F.max("side").alias("high")).filter("low < high")
-    carried = by_stem.groupBy(key, "i").agg(F.count("*").alias("carried"))
-    added = sides.groupBy(key, "i", "w").agg(F.min("side").alias("low")).filter("low = 1").groupBy(key, "i").agg(F.count("*").alias("added"))
-    v = pairs.select(key, "i").join(carried, [key, "i"], "left").join(added, [key, "i"], "left").fillna(0, ["carried", "added"])
+    # both sides lie in one row, so words need not be exploded, shuffled and joined
+    sides = pairs.select(key, "i", words(F.col("prior")).alias("p"), words(F.col("reply")).alias("r"))
+    carried = F.size(F.array_intersect(stem_array(F.col("p")), stem_array(F.col("r"))))
+    v = sides.select(key, "i", carried.cast("long").alias("carried"), F.size(F.array_except("r", "p")).cast("long").alias("added"))
     v = v.withColumn("reason", F.when(F.col("carried") == 0, "nothing carried").when(F.col("added") == 0, "echo").otherwise("ok"))
     bad = F.sum((F.col("reason") != "ok").cast("int")).over(Window.partitionBy(key).orderBy("i"))
     return v.withColumn("kept", bad == 0)

@@ -186,3 +186,9 @@ def test_no_copies_of_turns_are_broadcast(spark, tmp_path, monkeypatch):
     spark.createDataFrame([(1, i, ["a"]) for i in range(4)], "c long, i long, x array<string>").write.parquet(f"{tmp_path}/t")
     plan = inference.transience(spark.read.parquet(f"{tmp_path}/t"), "c", ["i"], "x", 2, 3)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("SortMergeJoin") == 3
+
+
+def test_gate_joins_no_words(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "dark"), (1, 1, "assistant", "darkening")], "conv_id long, turn long, role string, text string")
+    plan = carry.gate(carry.exchanges(turns, "conv_id", ["turn"], "user", "assistant"))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
