@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.operators.settle import settled
+
 # fixed values: endings in the order in which they are tried, and words that carry nothing
 ENDINGS = ("iness", "ness", "ingly", "ing", "edly", "ed", "es", "s", "en")
 STOP = (
@@ -96,8 +98,9 @@ def marked_rates(turns: DataFrame, key: str, order: list[str], items: str) -> Da
 
 def attested(words: DataFrame, roots: DataFrame, on: str, support: int, turns: int, purity: float, share: float) -> DataFrame:
     """(word, root, c): roots that a word lands on with support and share; words seen too seldom, impure or of one root are left out."""
-    hits = words.join(roots, on).groupBy("word", "root").agg(F.count("*").alias("c"))
-    seen = words.groupBy("word").agg(F.count("*").alias("seen"))
+    # counts of words and roots, used several times
+    hits = settled(words.join(roots, on).groupBy("word", "root").agg(F.count("*").alias("c")))
+    seen = settled(words.groupBy("word").agg(F.count("*").alias("seen")))
     top = hits.groupBy("word").agg(F.max("c").alias("top"))
     named = seen.join(top, "word").filter((F.col("seen") >= turns) & (F.col("top") / F.col("seen") >= purity)).select("word", "seen")
     held = hits.join(named, "word").filter((F.col("c") >= support) & (F.col("c") / F.col("seen") >= share)).select("word", "root", "c")

@@ -192,3 +192,10 @@ def test_gate_joins_no_words(spark):
     turns = spark.createDataFrame([(1, 0, "user", "dark"), (1, 1, "assistant", "darkening")], "conv_id long, turn long, role string, text string")
     plan = carry.gate(carry.exchanges(turns, "conv_id", ["turn"], "user", "assistant"))._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Generate" not in plan
+
+
+def test_attested_roots_come_from_settled_counts(spark):
+    words, roots = (spark.createDataFrame([(i, x) for i in range(9) for x in "pq"], f"o long, {c} string") for c in ("word", "root"))
+    held = carry.attested(words, roots, "o", support=8, turns=8, purity=0.2, share=0.15)
+    assert "o#" not in held._jdf.queryExecution().executedPlan().toString()
+    assert sorted(held.collect()) == [(w, r, 9) for w in "pq" for r in "pq"]
