@@ -119,7 +119,7 @@ def numbered(df: DataFrame, order: str, ties: list[str] = [], name: str = "seq",
     within them; the counts of earlier ranges, one row for each, are joined.  Null orders come first.
     """
     ranges = max(1, -(-df.count() // rows))
-    bounds = sorted({b for b in df.approxQuantile(order, [i / ranges for i in range(1, ranges)], 0.01)}) if ranges > 1 else []
+    bounds = sorted({b for b in df.approxQuantile(order, [i / ranges for i in range(1, ranges)], min(0.01, 0.25 / ranges))}) if ranges > 1 else []
     dealt = df.withColumn("_range", F.expr(f"aggregate(array({', '.join(f'{b!r}D' for b in bounds)}), 0, (n, b) -> n + if({order} > b, 1, 0))") if bounds else F.lit(0))
     earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = dealt.groupBy("_range").count().select("_range", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_before"))

@@ -623,12 +623,17 @@ def exact_limiter(t):
     return limiter.admit(e, 3, 86400.0)
 
 
+#: rows of a range in which documents are numbered with their words
+UTTERANCES = 20_000
+
+
 def utterances(t) -> DataFrame:
     """Documents as rows of a repetition log: in the bucket of their first word, by doc_id on one clock, with their different words."""
     words = tx.token_set("text")
     first = F.regexp_extract(F.lower(F.coalesce("text", F.lit(""))), "[a-z]+", 0)
-    rows = t("documents").select(F.col("doc_id").alias("id"), first.alias("bucket"), words.alias("items"))
-    return sequences.numbered(rows, "id", ["bucket", "items"])
+    # words hold letters alone, so their digest tells sets apart; rows that do without the words stay narrow
+    rows = t("documents").select(F.col("doc_id").alias("id"), first.alias("bucket"), words.alias("items")).withColumn("digest", F.md5(F.array_join("items", " ")))
+    return sequences.numbered(rows, "id", ["bucket", "digest"], rows=UTTERANCES)
 
 
 _DECAYED = "m.weight * pow(0.5, ({0} - m.last) / 64.0)"

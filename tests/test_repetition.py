@@ -113,3 +113,17 @@ def test_rows_are_numbered_across_ranges(spark):
     order = sorted(values, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
     assert got == {i: n for n, (_, i) in enumerate(order, 1)}
     assert numbered(spark.createDataFrame([], "v int"), "v").count() == 0
+
+
+def test_documents_are_numbered_in_small_ranges_and_without_their_words(spark, sf, monkeypatch):
+    from skein import queries
+
+    t = lambda name: spark.read.parquet(f"{sf}/{name}.parquet")
+    monkeypatch.setattr(queries, "UTTERANCES", 30)
+    rows = queries.utterances(t)
+    ids = sorted(r.doc_id for r in t("documents").select("doc_id").collect())
+    assert {r.id: r.seq for r in rows.select("id", "seq").collect()} == {d: n for n, d in enumerate(ids, 1)}
+    sizes = [r["count"] for r in rows.groupBy(((rows.seq - 1) / 30).cast("int")).count().collect()]
+    assert max(sizes) == 30
+    window = next(x for x in rows._jdf.queryExecution().optimizedPlan().toString().splitlines() if "row_number" in x)
+    assert "digest" in window and "items" not in window.split("windowspecdefinition")[1]
