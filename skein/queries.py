@@ -663,8 +663,9 @@ def repetition_log(t):
  select bucket, count(*) as medoids, count(*) filter ({_DECAYED.format('now')} >= 0.02) as live, sum(m.hits)::bigint as hits, round(sum({_DECAYED.format('now')}), 6) as weight from e, n group by bucket""")
 def repetition_medoids(t):
     """The log after the last document: its medoids, those a sweep would keep, and their weight."""
-    rows = utterances(t)
-    now = rows.agg(F.max("seq").alias("now"))
+    # without scores the log only asks which sets are equal
+    rows = utterances(t).withColumn("items", F.array("digest"))
+    now = rows.agg(F.count("*").alias("now"))  # the clock counts the rows
     log = repetition.medoids(rows).crossJoin(F.broadcast(now))  # one row
     w = repetition.decayed_weight(F.col("now"))
     return log.groupBy("bucket").agg(F.count("*").alias("medoids"), F.count_if(w >= 0.02).alias("live"), F.sum("hits").alias("hits"), r6(F.sum(w)).alias("weight"))
