@@ -1,4 +1,8 @@
+import random
+from collections import Counter
+
 import corpus_pipeline
+from skein.llm import common
 from skein.llm.queries import QUERIES
 
 
@@ -31,6 +35,28 @@ def test_stages_take_effect_and_keep_clean_documents(spark, tmp_path):
     assert left[3] == left[4] == left[2] - {103} and ids <= left[3]
 
 
+def test_near_duplicates_shuffle_only_what_goes_or_repeats(spark, monkeypatch, shuffled):
+    """At 6 GB the rows that stay pass the broadcast limit; they are nearly all, so none of them is to be shuffled."""
+    rng = random.Random(17)
+    texts = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=24)) for _ in range(200)) for _ in range(150)]
+    single = [(i, t, "k", "r", "b") for i, t in enumerate(texts)]
+    more = [(200 + i, t + " end", "k", "r", "b") for i, t in enumerate(texts[:4])]  # near copies go
+    more += [(300, texts[5], "k", "r", "b"), (None, texts[6], "k", "r", "b"), (8, texts[8] + " end", "k", "r", "b")]  # equal text, no id, one id twice
+    again = [(9, texts[9], "other", "r", "b"), (10, texts[10], "k", "r", "b"), (10, texts[10], "k", "r", "b"), (None, texts[11] + " end", "k", "r", "b"), (None, None, "k", "r", "b"), (None, None, "k", "r", "b"), (7, "", "k", "r", "b")]
+    docs = spark.createDataFrame(single + more + again, "doc_id long, text string, key string, row string, bits string").cache()
+    docs.count()
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 2)
+    before = shuffled()
+    out = corpus_pipeline.near_duplicates(spark, docs, "")
+    got = Counter((r.doc_id, r.text) for r in out.collect())
+    assert shuffled() - before < sum(map(len, texts))
+    assert out.columns == docs.columns
+    eight = got.pop((8, texts[8]), 0), got.pop((8, texts[8] + " end"), 0)
+    assert sorted(eight) == [0, 1]  # equal ids: either stays
+    expected = {(i, t): 1 for i, t in enumerate(texts) if i != 8}
+    assert got == Counter(expected | {(None, None): 1, (7, ""): 1})
+
+
 def test_every_operator_is_registered_once():
     numbers = sorted(int(q.split("_")[0][2:]) for q in QUERIES)
     assert numbers == list(range(1, 14))
